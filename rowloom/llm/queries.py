@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .covering_simhash import op8_covering_simhash
 from .line_frequency import op5_line_frequency
 from .poisson_mix import OP2_SQL, op2_poisson_mix
+from .prefix_bpe import op9_prefix_bpe
+from .repair_codec import op7_repair_codec
 from .splitters import op10_sampled_splitters
 from .syncmers import op4_closed_syncmers
 
@@ -21,6 +24,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_poisson_mix": _over("documents", op2_poisson_mix),
         "op4_closed_syncmers": _over("documents", op4_closed_syncmers),
         "op5_line_frequency": _over("documents", op5_line_frequency),
+        "op7_repair_codec": _over("documents", op7_repair_codec),
+        "op8_covering_simhash": _over("documents", op8_covering_simhash),
+        "op9_prefix_bpe": _over("documents", op9_prefix_bpe),
         "op10_sampled_splitters": _over("documents", op10_sampled_splitters),
     }
 
