@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -53,6 +54,11 @@ def _clean() -> None:
             return
 
 
+def with_fields(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
+    """schema with more nullable fields; schema itself stays as it is."""
+    return T.StructType([*schema.fields, *(T.StructField(n, k, True) for n, k in kinds.items())])
+
+
 def own_columns(df: DataFrame, names: list[str]) -> DataFrame:
     """df without columns whose names an operator is about to add (compared without case)."""
     taken = {n.lower() for n in names}

@@ -26,8 +26,9 @@ from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from ._store import own_columns
+from ._store import own_columns, with_fields
 
 #: Encoded matches that one worker remembers; beyond it the table starts anew.
 REMEMBERED = 400_000
@@ -191,7 +192,7 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, patter
             ids = pa.array([e.encode(t.as_py()) for t in b.column(len(rest))], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], ids], [*rest, "ids"])
 
-    schema = docs.select(*rest).schema.add("ids", "array<int>")
+    schema = with_fields(docs.select(*rest).schema, ids=T.ArrayType(T.IntegerType()))
     return docs.select(*rest, text).mapInArrow(each, schema)
 
 
@@ -207,7 +208,7 @@ def decoded(rows: DataFrame, ids: str = "ids", text: str = "text", path: str | N
             texts = pa.array([e.decode(x.as_py() or []).decode("utf-8", "replace") for x in b.column(len(rest))], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], texts], [*rest, text])
 
-    schema = rows.select(*rest).schema.add(text, "string")
+    schema = with_fields(rows.select(*rest).schema, **{text: T.StringType()})
     return rows.select(*rest, ids).mapInArrow(each, schema)
 
 
