@@ -84,7 +84,7 @@ class Field:
 
     @property
     def spark_type(self) -> T.DataType:
-        return T.ArrayType(self.storage.spark, False) if self.element else self.storage.spark
+        return T.ArrayType(self.storage.spark) if self.element else self.storage.spark
 
     @property
     def fixed(self) -> bool:
