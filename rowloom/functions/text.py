@@ -57,15 +57,15 @@ def number(value: Column, single: bool = False) -> Column:
     Whole numbers that the float holds exactly go through integers. The rest starts from the platform's text, which has
     all digits that are needed; where a shorter rounding gives the same float, that is taken.
     """
-    kind, enough = ("float", (6, 7, 8)) if single else ("double", (15, 16))
+    kind, enough = ("float", 6) if single else ("double", 15)
     long_text = value.cast("string")
-    roundings = [F.format_string(f"%.{d - 1}e", value.cast("double")) for d in enough]
-    shorter = F.coalesce(*[F.when(r.cast(kind) == value, r) for r in roundings], long_text)
     n_digits = F.length(F.regexp_replace(long_text, r"E.*|[^0-9]", ""))
-    # the smallest floats have few bits, and the platform's text may have a digit too many
-    tiny = F.abs(value) < F.lit(1e-37 if single else 1e-307).cast(kind)
-    fewest = F.coalesce(*[F.when(r.cast(kind) == value, r) for r in (F.format_string(f"%.{d}e", value.cast("double")) for d in range(1, enough[0] - 1))], shorter)
-    text = F.when(tiny & (value != 0), fewest).when(n_digits > enough[0], shorter).otherwise(long_text)
+    # the smallest floats have few bits, and the platform's text may have a digit too many there as well
+    tiny = (F.abs(value) < F.lit(1e-37 if single else 1e-307).cast(kind)) & (value != 0)
+    roundings = F.transform(F.sequence(F.lit(0), F.lit(enough + 1)), lambda d: F.call_function("format_string", F.concat(F.lit("%."), d, F.lit("e")), value.cast("double")))
+    same = F.filter(roundings, lambda r: r.cast(kind) == value)
+    fewest = F.regexp_replace(F.coalesce(F.get(same, F.lit(0)), long_text), r"^(-?\d)e", "$1.0e")
+    text = F.when(tiny | (n_digits > enough), fewest).otherwise(long_text)
     plain = F.when(text.rlike("[eE]"), _without_exponent(text)).otherwise(F.regexp_replace(text, r"\.0$", ""))
     whole = (value == F.floor(value.cast("double")).cast(kind)) & (F.abs(value) < F.lit(float(1 << (24 if single else 53))).cast(kind)) & (value != 0)
     finite = ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")).cast(kind))
