@@ -60,5 +60,5 @@ def unsigned(value: Column) -> Column:
 
 def mask_from_decimal(value: Column) -> Column:
     """The bits of an unsigned number that a reader gave as a decimal."""
-    top = F.lit(2**63).cast("decimal(20,0)")
-    return F.when(value >= top, value - F.lit(2**64).cast("decimal(21,0)")).otherwise(value).cast("long")
+    top, whole = F.lit(str(2**63)).cast("decimal(20,0)"), F.lit(str(2**64)).cast("decimal(20,0)")
+    return F.when(value >= top, value - whole).otherwise(value).cast("long")

@@ -86,16 +86,17 @@ def _message(outputs: tuple[Output, ...], columns: dict[str, pa.Array], n: int)
 
 
 def _shown(rows: DataFrame, schema: Schema) -> DataFrame:
-    """Physical rows with symbols, arrays of symbols and UTC text, named by path."""
-    return rows.select("batch_id", "pos", *[logical_value(o, schema).alias(o.path) for o in schema.flat_outputs])
+    """Physical rows with symbols, arrays of symbols and UTC text; numbered, as Arrow functions take no dotted names."""
+    return rows.select("batch_id", "pos", *[logical_value(o, schema).alias(f"o{i}") for i, o in enumerate(schema.flat_outputs)])
 
 
 def protobuf_rows(rows: DataFrame, schema: Schema) -> DataFrame:
     """(batch_id, pos, data): each row's message, without its key."""
+    paths = [o.path for o in schema.flat_outputs]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = dict(zip(b.schema.names[2:], b.columns[2:], strict=True))
+            columns = dict(zip(paths, b.columns[2:], strict=True))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_message(schema.outputs, columns, len(b)), pa.binary())], ["batch_id", "pos", "data"])
 
     return _shown(rows, schema).mapInArrow(each, T.StructType([rows.schema["batch_id"], rows.schema["pos"], T.StructField("data", T.BinaryType())]))
@@ -105,9 +106,10 @@ def protobuf_batches(rows: DataFrame, schema: Schema, cap: int | None = None) ->
     """(batch_id, data, error_code): the version, then every row under the row key."""
     head = key(1, VARINT) + varint(schema.version_value)
     row_key = key(schema.row_number, BYTES)
+    paths = [o.path for o in schema.flat_outputs]
 
     def make(table: pa.Table, bounds: np.ndarray) -> dict[str, pa.Array]:
-        columns = {n: table.column(n).combine_chunks() for n in table.column_names[2:]}
+        columns = {p: c.combine_chunks() for p, c in zip(paths, table.columns[2:], strict=True)}
         framed = [row_key + short(len(x)) + x for x in _message(schema.outputs, columns, len(table))]
         data = [head + b"".join(framed[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         over = [cap is not None and len(d) > cap for d in data]
