@@ -31,7 +31,9 @@ from pyspark.sql import types as T
 from ._store import own_columns, with_fields
 
 #: Encoded matches that one worker remembers; beyond it the table starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+#: Characters of text that are split into matches at a time.
+AT_ONCE = 1 << 20
 BORDERS = 1_000_000
 
 
@@ -57,6 +59,8 @@ class Vocabulary:
                     self.reachable.add(rank)
                     break
         self.usable = {b: i for b, i in ranks.items() if i in self.reachable}
+        #: every ending of a usable token, with the token's id or -1
+        self.tails = {b[n:]: -1 for b in self.usable for n in range(1, len(b))} | self.usable
         self._fits.clear()
 
     def _border(self, a: int, b: int, below: int) -> bool:
@@ -99,33 +103,59 @@ class Prefixes:
         self.vocabulary, self.data, self.last = vocabulary, b"", [-1]
         self.append(data)
 
-    def _last(self, end: int) -> int:
-        usable, data, last, fits = self.vocabulary.usable, self.data, self.last, self.vocabulary.fits
-        for start in range(max(0, end - self.vocabulary.longest), end):
-            token = usable.get(data[start:end])
-            if token is not None and (start == 0 or fits(last[start], token)):
-                return token
-        raise ValueError(f"byte {data[end - 1]:#x} is not in the vocabulary")
+    def _extend(self) -> None:
+        """The last tokens of prefixes that have none yet; of each, tokens are tried from short to long."""
+        data, last = self.data, self.last
+        tails, fits, known = self.vocabulary.tails.get, self.vocabulary.fits, self.vocabulary._fits.get
+        for end in range(len(last), len(data) + 1):
+            found = -1
+            for start in range(end - 1, -1, -1):
+                token = tails(data[start:end], -2)
+                if token < 0:
+                    if token == -2:
+                        break
+                elif not start:
+                    found = token
+                else:
+                    fit = known(last[start] << 32 | token)
+                    if fits(last[start], token) if fit is None else fit:
+                        found = token
+                        break
+            if found < 0:
+                raise ValueError(f"byte {data[end - 1]:#x} is not in the vocabulary")
+            last.append(found)
 
     def append(self, more: bytes) -> None:
-        at, self.data = len(self.data), self.data + more
-        for end in range(at + 1, len(self.data) + 1):
-            self.last.append(self._last(end))
+        self.data += more
+        self._extend()
+
+    def change_to(self, data: bytes) -> None:
+        """Other bytes; what holds of the table for a common beginning stays."""
+        same, old = 0, self.data
+        for x, y in zip(old, data, strict=False):
+            if x != y:
+                break
+            same += 1
+        self.data = data
+        del self.last[same + 1 :]
+        self._extend()
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put new in the place of bytes start to stop; returns how many prefixes were computed anew."""
         old, shift = self.last, len(new) - (stop - start)
         self.data = self.data[:start] + new + self.data[stop:]
-        self.last = old[: start + 1]
-        same = 0
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._last(end))
+        whole, self.last, same = self.data, old[: start + 1], 0
+        for end in range(start + 1, len(whole) + 1):
+            self.data = whole[:end]
+            self._extend()
             before = end - shift
             same = same + 1 if before > stop and old[before] == self.last[end] else 0
             if same >= self.vocabulary.longest:
+                self.data = whole
                 self.last += old[before + 1 :]
                 return end - start
-        return len(self.data) - start
+        self.data = whole
+        return len(whole) - start
 
     def ids(self) -> list[int]:
         out, end = [], len(self.data)
@@ -142,7 +172,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder(dict):
-    """Ids of matches of the pattern, made on first use."""
+    """Ids of matches of the pattern. New matches are encoded in sorted order, so that each takes over what
+    the table of the one before holds for their common beginning."""
 
     def __init__(self, path: str, pattern: str):
         import regex
@@ -151,23 +182,48 @@ class Encoder(dict):
         self.matches = regex.compile(pattern).findall
         self.own = {i: i for i in self.vocabulary.bytes}  # one object for each id
 
-    def __missing__(self, match: str) -> tuple[int, ...]:
-        data = match.encode()
-        whole = self.vocabulary.ranks.get(data)
-        ids = (whole,) if whole is not None else tuple(self.own[i] for i in Prefixes(self.vocabulary, data).ids())
-        if len(match) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[match] = ids
-        return ids
+    def learn(self, new: set[str]) -> None:
+        table, own, ranks = Prefixes(self.vocabulary), self.own, self.vocabulary.ranks
+        for match in sorted(new):
+            data = match.encode()
+            whole = ranks.get(data)
+            if whole is None:
+                table.change_to(data)
+                self[match] = tuple(own[i] for i in table.ids())
+            else:
+                self[match] = (own[whole],)
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+        split = [self.matches(t or "") for t in texts]
+        here = set().union(*split)
+        new = {m for m in here if m not in self}
+        if len(self) + len(new) > REMEMBERED:
+            self.clear()
+            new = here
+        self.learn(new)
+        get = self.__getitem__
+        return [list(chain.from_iterable(map(get, s))) for s in split]
 
     def encode(self, text: str | None) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.matches(text or ""))))
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids))
 
 
+def runs(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in runs of about AT_ONCE characters; a longer text is a run of its own."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t or "") > AT_ONCE:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t or "")
+    if run:
+        yield run
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     """One for each Python worker and vocabulary."""
@@ -189,7 +245,7 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, patter
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(where, cut)
         for b in batches:
-            ids = pa.array([e.encode(t.as_py()) for t in b.column(len(rest))], pa.list_(pa.int32()))
+            ids = pa.array([x for run in runs(b.column(len(rest)).to_pylist()) for x in e.encode_all(run)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], ids], [*rest, "ids"])
 
     schema = with_fields(docs.select(*rest).schema, ids=T.ArrayType(T.IntegerType()))
@@ -221,8 +277,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
         shown = {i: str(i) for i in e.vocabulary.bytes}.__getitem__
         for b in batches:
             n, made, back = [], [], []
-            for t in b.column(1):
-                ids = e.encode(t.as_py())
+            for ids in (x for run in runs(b.column(1).to_pylist()) for x in e.encode_all(run)):
                 n.append(len(ids))
                 made.append(hashlib.sha256(" ".join(map(shown, ids)).encode()).hexdigest())
                 back.append(hashlib.sha256(e.decode(ids)).hexdigest())
