@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -45,7 +46,7 @@ RARITY = 1000
 #: Pairs of a round, the most frequent first; with 1 this is Re-Pair in its strictest order.
 AT_ONCE = 512
 BUCKETS = 20
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 #: The tokenizer's pattern over letters below U+0250, for which its normalizer is str.lower.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -63,7 +64,7 @@ def byte_letters() -> list[str]:
 
 
 class WordIds(dict):
-    """Ids, as little-endian u32 bytes, of what stands between white space, made on first use.
+    """Ids, as u32 bytes, of what stands between white space, made on first use.
 
     The tokenizer drops white space and encodes words one by one, so the ids of a text are those of its
     parts in a row; each word goes through the library's model.
@@ -81,8 +82,11 @@ class WordIds(dict):
         self.letters = byte_letters().__getitem__
 
     def __missing__(self, part: str) -> bytes:
-        ids = [t.id for w in self.words(part) for t in self.model.tokenize("".join(map(self.letters, w.encode())))]
-        data = np.array(ids, "<u4").tobytes()
+        words = self.words(part)
+        if len(words) != 1 or words[0] != part:
+            data = b"".join(map(self.__getitem__, words))
+        else:
+            data = array("I", [t.id for t in self.model.tokenize(part if part.isascii() else "".join(map(self.letters, part.encode())))]).tobytes()
         if len(part) <= 64:
             if len(self) >= REMEMBERED:
                 self.clear()
