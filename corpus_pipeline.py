@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return covering_simhash.deduplicated(docs).select(*COLUMNS)
+    """One of documents whose sets of five-word shingles are similar to 0.8 or more."""
+    return covering_simhash.without_similar(docs).select(*COLUMNS)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,13 @@ one flip of x and two of y), which is a grouped minimum and grows in proportion
 radii one flip and radius - 1 flips are taken. Components come from alternating large and small stars,
 each round written to the shared folder.
 
+Near duplicates in the sense of word shingles (similar()) are found among fingerprints of the set of a
+text's words, in which an edit of one word weighs little, at a wider radius; what links is then compared
+by the Jaccard coefficient of the shingle sets. In each component documents are taken in ascending id
+and one is kept unless a kept one is similar. A task streams over components in that order and holds the
+sets of those kept, indexed by the few smallest hashes that similar sets must share. A component of more
+than `bound` hashes is first made smaller by rounds that compare all of it with its first document.
+
 Defined results: null and empty texts have the fingerprint zero and are linked like any other; a null
 id takes part, but never names a component (component_id is null only if no member has an id); repeated
 rows get a row each; an empty table gives no rows; other columns of the input do not matter.
@@ -22,6 +29,7 @@ rows get a row each; an empty table gives no rows; other columns of the input do
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -30,33 +38,55 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._store import written
+from ._store import with_fields, written
 
 BITS = 64
 CHUNK = 1 << 17
 LIMIT = 4096
+#: Shingle hashes of a component that one task streams over.
+BOUND = 1 << 26
 BROADCAST_ROWS = 100_000
 
 
-def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """The fingerprint of a text's word shingles; a bit is set if it is set in over half the hashes."""
-    words = (text or "").encode().lower().split()  # bytes: only A-Z are lower-cased, only ASCII white space parts
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # bytes: only A-Z are lower-cased, only ASCII white space parts
+
+
+def shingle_hashes(words: list[bytes], width: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """Hashes of the shingles, repeats included, in chunks; fewer words are one shingle."""
     if not words:
-        return 0
+        return
     line = b" ".join(words)
     n = max(1, len(words) - width + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     stops = ends[-n:]
-    ones = np.zeros(BITS, np.int64)
     for at in range(0, n, CHUNK):
         cut = map(line.__getitem__, map(slice, starts[at : min(n, at + CHUNK)].tolist(), stops[at : min(n, at + CHUNK)].tolist()))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(seed)), ">u8")
+        yield np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(seed)), ">u8")
+
+
+def majority(chunks: Iterator[np.ndarray]) -> int:
+    """The bits that are set in over half the hashes."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in chunks:
         ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
+def simhash(text: str | None, width: int = 3) -> int:
+    """The fingerprint of a text's word shingles, repeats included."""
+    return majority(shingle_hashes(words_of(text), width))
+
+
+def simhash_of_set(words: list[bytes], seed: int = 42) -> int:
+    """The fingerprint of the set of words: each counts once."""
+    return majority(iter([np.fromiter(map(xxhash.xxh64_intdigest, set(words), repeat(seed)), ">u8")] if words else ()))
+
+
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """(key, fp): fp holds the 64 bits as a signed long."""
 
@@ -69,6 +99,31 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     return docs.select(key, text).mapInArrow(each, f"`{key}` {kind}, fp bigint")
 
 
+def set_fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, fp, whole): fp of the set of words, whole of the words in their order."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [words_of(t.as_py()) for t in b.column(1)]
+            prints = np.array([simhash_of_set(w) for w in texts], np.uint64)
+            wholes = np.array([xxhash.xxh64_intdigest(b" ".join(w), 7) for w in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64)), pa.array(wholes.view(np.int64))], [key, "fp", "whole"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(each, f"`{key}` {kind}, fp bigint, whole bigint")
+
+
+def shingle_sets(docs: DataFrame, keys: list[str], text: str, width: int) -> DataFrame:
+    """keys and `set`: the sorted different hashes of a text's shingles."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(np.concatenate([c.astype(np.uint64) for c in shingle_hashes(words_of(t.as_py()), width)] or [np.zeros(0, np.uint64)])).view(np.int64) for t in b.column(len(keys))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(sets, pa.list_(pa.int64()))], [*keys, "set"])
+
+    return docs.select(*keys, text).mapInArrow(each, with_fields(docs.select(*keys).schema, set=T.ArrayType(T.LongType())))
+
+
 def covering_masks(radius: int = 3, bits: int = BITS) -> list[int]:
     """2 ** (radius + 1) - 1 masks, one of which hides any choice of up to radius positions."""
     vectors = range(1, 1 << (radius + 1))
@@ -168,25 +223,101 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     return base.join(named, "fp").select(key, "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents that name their components: one of each group; the columns of docs.
+def covered(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of rows (component, id, set), sorted, the ids that a kept row of their component is similar to.
 
-    Of repeated rows of one id one stays. Rows without an id stay, as nothing can name them.
+    Similar sets share one of their first elements: those that are left when `similarity` of a set is taken
+    from its end. Only these are indexed, and what they find is compared as a whole.
+    """
+    now: object = None
+    kept: list[np.ndarray] = []
+    at: dict[int, list[int]] = {}
+    for b in batches:
+        sets, gone = b.column(2), []
+        flat, ends = sets.flatten().to_numpy(), np.cumsum(sets.value_lengths().to_numpy())
+        for comp, id_, end, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends.tolist(), sets.value_lengths().to_pylist(), strict=True):
+            if comp != now:
+                now, kept, at = comp, [], {}
+            own = flat[end - size : end]
+            head = own[: size - math.ceil(similarity * size - 1e-9) + 1].tolist()
+            for i in sorted({i for h in head for i in at.get(h, ())}):
+                both = len(np.intersect1d(own, kept[i], assume_unique=True))
+                if both >= similarity * (size + len(kept[i]) - both):
+                    gone.append(id_)
+                    break
+            else:
+                for h in head:
+                    at.setdefault(h, []).append(len(kept))
+                kept.append(own.copy())
+        yield pa.RecordBatch.from_arrays([pa.array(gone, b.schema.field(1).type)], [b.schema.names[1]])
+
+
+def _without(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """docs without the ids of which ids(key, stays) says so; of repeated rows of one id one stays.
+
+    Rows without an id stay, as nothing can name them.
     """
-    found = classes(docs, key, text, **how)
-    ids = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
-    ids = written(ids, "ids")
-    gone = ids.where(F.col("c") != F.col(key)).select(F.col(key).alias("__gone"))
-    many = ids.where(F.col("n") > 1).limit(1).count()
+    gone = ids.where(~F.col("stays")).select(F.col(key).alias("__gone"))
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     out = docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
-    if many:
-        named = out.where(F.col(key).isNotNull()).dropDuplicates([key])
-        out = named.unionByName(out.where(F.col(key).isNull()))
+    if ids.where(F.col("n") > 1).limit(1).count():
+        out = out.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(out.where(F.col(key).isNull()))
     return out
 
 
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The documents that name their components: one of each group; the columns of docs."""
+    found = classes(docs, key, text, **how).where(F.col(key).isNotNull())
+    ids = found.groupBy(key).agg((F.min("component_id") == F.col(key)).alias("stays"), F.count("*").alias("n"))
+    return _without(docs, key, written(ids, "ids"))
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 5, limit: int = LIMIT, bound: int = BOUND) -> DataFrame:
+    """(key, stays, n): which documents stay if near duplicates go; n is how many rows have the key.
+
+    Two texts are near duplicates if the Jaccard coefficient of their sets of width-word shingles is at
+    least `similarity`. A text goes if its component holds a similar text of a smaller key that stays;
+    of equal texts the smallest key stands for all.
+    """
+    base = written(set_fingerprints(docs.where(F.col(key).isNotNull()), key, text), "prints")
+    nodes = written(base.groupBy("fp", "whole").agg(F.min(key).alias("__least")), "nodes")
+    roots = components(links(nodes.select("fp").distinct(), radius, limit))
+    placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("__least", F.coalesce("root", "fp").alias("__comp"))
+    crowded = placed.groupBy("__comp").agg(F.count("*").alias("__n")).where(F.col("__n") > 1).select("__comp")
+    contested = written(placed.join(crowded, "__comp"), "contested")
+    small = contested.count() <= BROADCAST_ROWS
+    texts = docs.select(key, text).join(F.broadcast(contested) if small else contested, F.col(key) == F.col("__least")).dropDuplicates([key])
+    left = written(shingle_sets(texts, ["__comp", "__least"], text, width), "sets")
+    gone = None
+    while True:
+        large = left.groupBy("__comp").agg(F.sum(F.size("set")).alias("__h"), F.count("*").alias("__m")).where((F.col("__h") > bound) & (F.col("__m") > 1)).select("__comp")
+        if large.isEmpty():
+            break
+        first = left.join(large, "__comp", "left_semi").groupBy("__comp").agg(F.min_by(F.struct("__least", "set"), "__least").alias("__first"))
+        both = F.size(F.array_intersect("set", "__first.set"))
+        total = F.size("set") + F.size("__first.set") - both
+        like = (F.col("__least") != F.col("__first.__least")) & (F.when(total == 0, F.lit(1.0)).otherwise(both / total) >= similarity)
+        shrunk = left.join(first, "__comp", "left").where(F.col("__first").isNull() | (F.col("__least") != F.col("__first.__least")))
+        shrunk = written(shrunk.select("__comp", "__least", "set", F.coalesce(like, F.lit(False)).alias("__like")), "round")
+        goes = shrunk.where("__like").select("__least")
+        gone = goes if gone is None else gone.union(goes)
+        left = shrunk.where("not __like").drop("__like")
+    ordered = left.repartition("__comp").sortWithinPartitions("__comp", "__least")
+    kind = left.schema["__least"].dataType
+    goes = ordered.mapInArrow(lambda batches: covered(batches, similarity), T.StructType([T.StructField("__least", kind)]))
+    gone = written(goes if gone is None else gone.union(goes), "gone")
+    kept = nodes.join(gone, "__least", "left_anti")
+    stays = kept.select(F.col("__least").alias("__stays"))
+    counted = base.groupBy(key).agg(F.count("*").alias("n"))
+    return counted.join(stays, F.col(key) == F.col("__stays"), "left").select(key, F.col("__stays").isNotNull().alias("stays"), "n")
+
+
+def without_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The documents that stay if near duplicates go; the columns of docs."""
+    return _without(docs, key, written(similar(docs, key, text, **how), "ids"))
+
+
 def shown(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 

@@ -424,6 +424,44 @@ def test_one_of_each_group_stays(spark):
     assert ids[0] == 1 and 1 not in ids and ids[3] == 1 and 4 not in ids and ids[None] == 2
 
 
+def shingles(t, width=5):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def dissimilar(found, radius=5):
+    """Ids in ascending order, without those that a kept one of their component is similar to."""
+    ids = sorted(found)
+    sets = {i: shingles(found[i]) for i in ids}
+    prints = [covering_simhash.simhash_of_set(covering_simhash.words_of(found[i])) for i in ids]
+    group, kept = components(prints, ids, radius), []
+    for i in ids:
+        rivals = [k for k in kept if group[k] == group[i]]
+        if not any(len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]) for k in rivals):
+            kept.append(i)
+    return kept
+
+
+@pytest.mark.parametrize("bound", [1, 1 << 26])
+def test_similar_texts_go(spark, bound):
+    import random
+
+    rng = random.Random(7)
+    found, n = {}, 0
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 40, 120]))]
+        for _ in range(rng.choice([1, 4, 9])):
+            copy = list(words)
+            for _ in range(rng.choice([0, 0, 1, 2, 6])):
+                copy[rng.randrange(len(copy))] = f"e{n}"
+            found[n], n = " ".join(copy), n + 1
+    found |= {n: "", n + 1: "  ", n + 2: None}
+    docs = spark.createDataFrame([*found.items(), (0, found[0]), (None, "x")], "doc_id long, text string")
+    got = {r.doc_id: r.stays for r in covering_simhash.similar(docs, bound=bound).collect()}
+    assert sorted(i for i, stays in got.items() if stays) == dissimilar({i: t or "" for i, t in found.items()})
+    assert len([1 for r in covering_simhash.without_similar(docs).collect() if r.doc_id == 0]) == 1
+
+
 # 9
 
 
