@@ -23,6 +23,11 @@ def fnv1a64(data: bytes, state: int = FNV_BASIS) -> int:
     return state
 
 
+def text_hash(data: bytes) -> int:
+    """FNV-1a of a declaration's bytes with every line end as a line feed."""
+    return fnv1a64(data.replace(b"\r\n", b"\n").replace(b"\r", b"\n"))
+
+
 @dataclass(frozen=True)
 class Storage:
     """How values of a kind are kept: Spark type, struct code of one value, Arrow type name."""

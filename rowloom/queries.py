@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowloom.functions import codes, presence, text
 from rowloom.operators import projection, sizes, validation
-from rowloom.sources import columnar, compression, envelope, rowtext, wire
+from rowloom.sources import columnar, compression, envelope, evidence, rowtext, wire
 from rowloom.tables import LINE_STATES, ORDER_STATES, PRIORITIES, STATES, TAGS, TYPES, events, events_schema, lines, lines_schema
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -426,6 +426,17 @@ def parquet_file(spark: SparkSession, d: str) -> DataFrame:
     return columnar.parquet_batches(events(spark, d), events_schema()).select("batch_id", F.substring(F.hex("data"), 1, 8).alias("magic"), "error_code")
 
 
+@query("column_checksums")
+def column_checksums(spark: SparkSession, d: str) -> DataFrame:
+    sums = evidence.column_checksums(events(spark, d), events_schema())
+    return sums.select("batch_id", F.posexplode("checksums").alias("field", "checksum"))
+
+
+@query("record_batch_checksum")
+def record_batch_checksum(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.batch_checksums(events(spark, d), events_schema())
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in found.items()}
 

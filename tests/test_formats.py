@@ -14,7 +14,8 @@ from rowloom.functions import codes, text
 from rowloom.operators.projection import project
 from rowloom.plans.errors import BatchError
 from rowloom.plans.registry import schema
-from rowloom.sources import columnar, compression, envelope, layout, rowtext, wire
+from rowloom.plans.model import fnv1a64, text_hash
+from rowloom.sources import columnar, compression, envelope, evidence, layout, rowtext, wire
 
 U64 = (1 << 64) - 1
 # Fingerprints of outputs for the rows of fixtures.telemetry: binary, JSON, protobuf, CSV, semantic, minimal.
@@ -284,3 +285,36 @@ def test_ipc_takes_one_batch():
         columnar.single_batch(sink.getvalue())
     with pytest.raises(BatchError):
         columnar.single_batch(b"junk")
+
+
+def test_column_checksums(spark):
+    s = schema("telemetry_v1")
+    rows = oracle(spark)
+    sums = evidence.column_checksums(rows, s).first().checksums
+    name = lambda n: struct.pack("<Q", len(n)) + n.encode()
+    word = lambda n: struct.pack("<Q", n)
+    want = {
+        "schema_version": name("schema_version") + struct.pack("<H", 1) + word(3),
+        "device": name("device") + word(3) + b"\0" + struct.pack("<3H", 0, 0, 1),
+        "battery_percent": name("battery_percent") + word(3) + b"\1" + name("validity") + word(3) + word(1) + word(6) + struct.pack("<3d", 0, 0, 50),
+    }
+    for i, f in enumerate(s.fields):
+        if f.path in want:
+            assert sums[i] & U64 == fnv1a64(want[f.path])
+    assert evidence.column_checksums(rows.repartition(3), s).first().checksums == sums
+    every = schema("test_compatibility_v1")
+    full, bare = (fixtures.compatibility(spark, 2, absent=a) for a in (False, True))
+    a, b = evidence.column_checksums(full, every).first().checksums, evidence.column_checksums(bare, every).first().checksums
+    assert [x != y for x, y in zip(a, b, strict=True)] == [f.bit is not None for f in every.fields]
+    assert evidence.batch_checksums(full, every).first() != evidence.batch_checksums(bare, every).first()
+
+
+def test_record_batch_checksum():
+    batch = pa.record_batch([pa.array([7, None], pa.uint16())], schema=pa.schema([pa.field("a", pa.uint16())]))
+    name = lambda n: struct.pack("<Q", len(n)) + n.encode()
+    longs = lambda *n: struct.pack(f"<{len(n)}Q", *n)
+    assert evidence.batch_bytes(batch) == name("arrow-record-batch") + longs(2, 1) + name("a") + name("UInt16") + longs(1) + longs(2, 0, 1) + struct.pack("<2H", 7, 0)
+
+
+def test_line_ends_do_not_change_a_text_hash():
+    assert text_hash(b"a\r\nb\rc") == text_hash(b"a\nb\nc") != text_hash(b"a\n\nb\nc")
