@@ -159,3 +159,37 @@ def op5_line_frequency(docs: DataFrame) -> DataFrame:
     """The contract's columns; n_words_left and n_lines_removed besides."""
     out = judged(own_columns(docs, STATS))
     return out.select("doc_id", *STATS, "base_failed", "kept", "n_words_left", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed_lines"))
+
+
+#: The same in SQL. Of longest lines of equal length another one may testify; only equality of testimony counts.
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT rid, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+ win AS (SELECT rid, i, list_slice(ws, i, i + 4) AS win FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+ twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM win) WHERE n > 1),
+ rep AS (SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM twice, range(0, 5) AS g(j) GROUP BY rid),
+ raw AS (SELECT rid, source, unnest(string_split(t, chr(10))) AS line FROM d),
+ l AS (SELECT rid, source, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM raw
+       WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+ dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rid),
+ u AS (SELECT DISTINCT rid, source, norm, len(string_split(norm, ' ')) AS n FROM l),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY n DESC, md5(norm)) AS k FROM u),
+ tops AS (SELECT rid, max(CASE WHEN k = 1 THEN norm END) AS first, max(CASE WHEN k = 2 THEN norm END) AS second FROM rk GROUP BY rid),
+ m AS (SELECT u.rid, u.source, u.norm, CASE WHEN u.norm <> tops.first THEN tops.first ELSE coalesce(tops.second, '') END AS by_line FROM u JOIN tops USING (rid)),
+ hosts AS (SELECT source, greatest(20.0, 0.1 * count(*)) AS lim FROM d GROUP BY source),
+ often AS (SELECT m.source, m.norm FROM m JOIN hosts ON m.source IS NOT DISTINCT FROM hosts.source
+           GROUP BY m.source, m.norm, hosts.lim HAVING count(*) >= hosts.lim AND count(DISTINCT by_line) >= hosts.lim),
+ gone AS (SELECT u.rid, u.norm FROM u JOIN often ON u.source IS NOT DISTINCT FROM often.source AND u.norm = often.norm),
+ kept_lines AS (SELECT l.rid, coalesce(sum(len(string_split(l.norm, ' '))) FILTER (WHERE g.norm IS NULL), 0) AS n_left
+                FROM l LEFT JOIN gone g ON l.rid = g.rid AND l.norm = g.norm GROUP BY l.rid),
+ cut AS (SELECT rid, count(*) AS n_removed FROM gone GROUP BY rid),
+ s AS (SELECT d.doc_id, len(w.ws) AS n_words, length(regexp_replace(d.t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+   length(d.t) - length(regexp_replace(d.t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n_dup_lines, 0) AS n_dup_lines,
+   coalesce(rep.n_repeat_words, 0) AS n_repeat_words, coalesce(cut.n_removed, 0) AS n_removed, coalesce(kl.n_left, 0) AS n_left
+  FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN cut USING (rid) LEFT JOIN kept_lines kl USING (rid)),
+ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN n_removed > 0 THEN n_left ELSE n_words END AS n_words_left FROM s)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+ n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT (n_removed > 0 AND (n_words_left < 10 OR n_words_left < 0.2 * n_words)) AS kept,
+ n_words_left::BIGINT AS n_words_left, n_removed::INTEGER AS n_removed_lines
+FROM f
+"""

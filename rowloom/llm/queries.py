@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .block_distribution import op1_block_distribution
 from .covering_simhash import op8_covering_simhash
 from .license_templates import op3_license_templates
-from .line_frequency import op5_line_frequency
+from .line_frequency import OP5_SQL, op5_line_frequency
 from .poisson_mix import OP2_SQL, op2_poisson_mix
 from .prefix_bpe import op9_prefix_bpe
 from .repair_codec import op7_repair_codec
@@ -38,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_poisson_mix": OP2_SQL}
+    return {"op2_poisson_mix": OP2_SQL, "op5_line_frequency": OP5_SQL}
