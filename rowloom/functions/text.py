@@ -11,7 +11,7 @@ from .codes import failed
 def utc(ms: Column) -> Column:
     """YYYY-MM-DDTHH:MM:SSZ of epoch milliseconds; milliseconds are dropped towards the past."""
     seconds = F.floor((ms - F.pmod(ms, F.lit(1000).cast("long"))) / 1000)
-    return F.regexp_replace(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'"), r"^\+", "")
+    return F.ltrim(F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("+"))  # years beyond 9999
 
 
 def base64(data: Column) -> Column:
@@ -21,13 +21,22 @@ def base64(data: Column) -> Column:
 
 def _escaped(text: Column, short: bool) -> Column:
     out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    names = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"} if short else {}
+    names = SHORT if short else {}
     controls = out
     for c in range(32):
         controls = F.replace(controls, F.lit(chr(c)), F.lit(f"\\{names[c]}" if c in names else f"\\u{c:04x}"))
     return F.when(out.rlike("[\\x00-\\x1f]"), controls).otherwise(out)
 
 
+SHORT = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r"}
+
+
+def json_literal(value: str, short: bool = True) -> str:
+    """What json_string makes of a constant; without short, what stands in arrays in CSV cells."""
+    out = value.replace("\\", "\\\\").replace('"', '\\"')
+    return '"' + "".join((f"\\{SHORT[ord(c)]}" if short and ord(c) in SHORT else f"\\u{ord(c):04x}") if c < " " else c for c in out) + '"'
+
+
 def json_string(text: Column) -> Column:
     """A JSON string: short escapes where there are any, other controls as lower-case \\u00xx."""
     return F.concat(F.lit('"'), _escaped(text, True), F.lit('"'))
@@ -54,6 +63,7 @@ def boolean(value: Column) -> Column:
 def number(value: Column, single: bool = False) -> Column:
     """A finite float in plain digits: the fewest that give the same float, no exponent, no trailing .0.
 
+    Of two shortest texts that are equally near the one farther from zero is taken, as format_string rounds.
     Whole numbers that the float holds exactly go through integers. The rest starts from the platform's text, which has
     all digits that are needed; where a shorter rounding gives the same float, that is taken.
     """
@@ -67,9 +77,18 @@ def number(value: Column, single: bool = False) -> Column:
     fewest = F.regexp_replace(F.coalesce(F.get(same, F.lit(0)), long_text), r"^(-?\d)e", "$1.0e")
     text = F.when(tiny | (n_digits > enough), fewest).otherwise(long_text)
     plain = F.when(text.rlike("[eE]"), _without_exponent(text)).otherwise(F.regexp_replace(text, r"\.0$", ""))
-    whole = (value == F.floor(value.cast("double")).cast(kind)) & (F.abs(value) < F.lit(float(1 << (24 if single else 53))).cast(kind)) & (value != 0)
+    whole = (value == F.floor(value.cast("double")).cast(kind)) & (F.abs(value) < F.lit(float(1 << (24 if single else 53))).cast(kind))
     finite = ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")).cast(kind))
-    return F.when(value.isNull(), F.lit(None).cast("string")).when(~finite, failed("NonFiniteNumeric", long_text).cast("string")).when(whole, value.cast("long").cast("string")).otherwise(plain)
+    # a fraction of few digits is the platform's text as it stands
+    brief = (F.length(long_text) <= enough + 1) & ~F.contains(long_text, F.lit("E"))
+    return (
+        F.when(value.isNull(), F.lit(None).cast("string"))
+        .when(~finite, failed("NonFiniteNumeric", long_text).cast("string"))
+        .when(value == 0, F.when(F.startswith(long_text, F.lit("-")), F.lit("-0")).otherwise(F.lit("0")))
+        .when(whole, value.cast("long").cast("string"))
+        .when(brief, long_text)
+        .otherwise(plain)
+    )
 
 
 def _without_exponent(text: Column) -> Column:

@@ -100,13 +100,17 @@ def batch_report(rows: DataFrame, schema: Schema) -> DataFrame:
     return out.select("batch_id", "n_rows", F.col("e.pos").alias("error_pos"), F.col("e.error.code").alias("error_code"), F.col("e.error.field").alias("error_field"))
 
 
-def strict(rows: DataFrame, schema: Schema) -> DataFrame:
-    """The rows; reading one that breaks a rule raises the rule's code. The check rides on the first column."""
+def strict(rows: DataFrame, schema: Schema, carrier: str | None = None) -> DataFrame:
+    """The rows; reading one that breaks a rule raises the rule's code.
+
+    The check rides on one column, the first unless carrier names another; what reads all columns may name
+    one that is no part of a partitioning or order that it wants to keep.
+    """
     error = F.col("__error")
     failure = F.raise_error(F.concat_ws(" ", error["code"], error["field"], error["value"]))
-    first, *rest = rows.columns
-    kind = rows.schema[first].dataType
-    return rows.withColumn("__error", row_error(schema)).select(F.when(error.isNull(), F.col(first)).otherwise(failure.cast(kind)).alias(first), *rest)
+    carrier = carrier or rows.columns[0]
+    loaded = F.when(error.isNull(), F.col(carrier)).otherwise(failure.cast(rows.schema[carrier].dataType)).alias(carrier)
+    return rows.withColumn("__error", row_error(schema)).select(*[loaded if c == carrier else F.col(c) for c in rows.columns])
 
 
 def physical_error(rows: DataFrame, schema: Schema) -> DataFrame:

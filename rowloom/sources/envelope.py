@@ -101,13 +101,19 @@ def column(rows: np.ndarray, varying: dict[str, list], schema: Schema, name: str
 
 def encode(rows: DataFrame, schema: Schema, cap: int | None = None, trusted: bool = False) -> DataFrame:
     """(batch_id, n_rows, n_bytes, data, error_code) of physical rows; checked rows raise their first error."""
+    ready, dealt = _checked(rows, schema, trusted)
+    return _encode_stored(ready, schema, cap, dealt)
+
+
+def _checked(rows: DataFrame, schema: Schema, trusted: bool) -> tuple[DataFrame, bool]:
+    """Stored rows, and whether checking the order of keys has dealt them out by batch."""
     ready = stored(rows, schema, "batch_id", "pos")
-    if not trusted:
-        ready = strict(ready, schema)
-    return _encode_stored(ready, schema, cap)
+    if trusted:
+        return ready, False
+    return strict(ready, schema, carrier=schema.fields[0].column), bool(schema.keys)
 
 
-def _encode_stored(ready: DataFrame, schema: Schema, cap: int | None) -> DataFrame:
+def _encode_stored(ready: DataFrame, schema: Schema, cap: int | None, dealt: bool = False) -> DataFrame:
     def make(table: pa.Table, bounds: np.ndarray) -> dict[str, pa.Array]:
         whole = layout.packed(table, schema)
         payloads, counts = [], []
@@ -125,7 +131,7 @@ def _encode_stored(ready: DataFrame, schema: Schema, cap: int | None) -> DataFra
             "error_code": pa.array(["ResponseTooLarge" if o else None for o in over], pa.string()),
         }
 
-    return per_batch(ready, make, {"n_rows": T.LongType(), "n_bytes": T.LongType(), "data": T.BinaryType(), "error_code": T.StringType()})
+    return per_batch(ready, make, {"n_rows": T.LongType(), "n_bytes": T.LongType(), "data": T.BinaryType(), "error_code": T.StringType()}, dealt)
 
 
 def decode(batches: DataFrame, schema: Schema, trusted: bool = False) -> DataFrame:
@@ -169,15 +175,13 @@ def check(batches: DataFrame, schema: Schema) -> DataFrame:
 
 def inspect(rows: DataFrame, schema: Schema, trusted: bool = False) -> DataFrame:
     """(batch_id, row_count, semantic, minimal) of physical rows; fingerprints are signed longs of 64 bits."""
-    ready = stored(rows, schema, "batch_id", "pos")
-    if not trusted:
-        ready = strict(ready, schema)
+    ready, dealt = _checked(rows, schema, trusted)
 
     def make(table: pa.Table, bounds: np.ndarray) -> dict[str, pa.Array]:
         semantic, minimal = (pa.array(layout.fingerprints(table, bounds, schema, full).view(np.int64)) for full in (True, False))
         return {"row_count": pa.array(np.diff(bounds)), "semantic": semantic, "minimal": minimal}
 
-    return per_batch(ready, make, {"row_count": T.LongType(), "semantic": T.LongType(), "minimal": T.LongType()})
+    return per_batch(ready, make, {"row_count": T.LongType(), "semantic": T.LongType(), "minimal": T.LongType()}, dealt)
 
 
 def checksum(batches: DataFrame, data: str = "data") -> DataFrame:

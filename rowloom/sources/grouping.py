@@ -1,7 +1,7 @@
 """Whole batches in Arrow streams: rows sorted by (batch_id, pos) within partitions, cut where the id changes.
 
 One Python call sees many batches as one table and the bounds of each, so the cost of a call is shared;
-a batch that goes on in the next Arrow batch is held back. Memory: the Arrow batch and the largest batch.
+a batch that goes on in the next Arrow batch is held back. Memory: TOGETHER and the largest batch.
 """
 
 from __future__ import annotations
@@ -15,25 +15,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Whole batches are handed on together up to about so many bytes.
+TOGETHER = 32 << 20
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole batches, and where each batch begins (and the last one ends)."""
-    held: list[pa.RecordBatch] = []
+    whole: list[pa.RecordBatch] = []
+    open_: list[pa.RecordBatch] = []  # the batch that may go on
+    size = 0
     for b in batches:
         if not len(b):
             continue
         ids = b.column(0).to_numpy(zero_copy_only=False)
         ends = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-        if held and held[-1].column(0)[-1].as_py() != ids[0]:
-            yield _cut(held)
-            held = []
-        if not len(ends):
-            held.append(b)
-            continue
-        held.append(b.slice(0, ends[-1]))
-        yield _cut(held)
-        held = [b.slice(ends[-1])]
-    if held:
-        yield _cut(held)
+        if open_ and open_[-1].column(0)[-1].as_py() != ids[0]:
+            whole, open_ = whole + open_, []
+        if len(ends):
+            whole, open_ = [*whole, *open_, b.slice(0, ends[-1])], [b.slice(ends[-1])]
+        else:
+            open_.append(b)
+        size += b.nbytes
+        if whole and size > TOGETHER:
+            yield _cut(whole)
+            whole, size = [], sum(x.nbytes for x in open_)
+    if whole or open_:
+        yield _cut(whole + open_)
 
 
 def _cut(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
@@ -42,11 +49,12 @@ def _cut(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
     return table, np.concatenate(([0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]))
 
 
-def per_batch(rows: DataFrame, make: Callable[[pa.Table, np.ndarray], dict[str, pa.Array]], fields: dict[str, T.DataType]) -> DataFrame:
+def per_batch(rows: DataFrame, make: Callable[[pa.Table, np.ndarray], dict[str, pa.Array]], fields: dict[str, T.DataType], dealt: bool = False) -> DataFrame:
     """(batch_id, *fields), a row for each batch: make gets a table of whole batches and their bounds.
 
     rows has batch_id, pos and what make needs. Batches are dealt by their id over the shuffle partitions,
-    a batch to one task: its rows are folded in order, which nothing can split.
+    a batch to one task: its rows are folded in order, which nothing can split. dealt says that the rows of
+    each batch are in one partition already, as they are after the window that checks the order of keys.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,6 +64,7 @@ def per_batch(rows: DataFrame, make: Callable[[pa.Table, np.ndarray], dict[str,
             yield pa.RecordBatch.from_arrays([ids, *(made[n] for n in fields)], ["batch_id", *fields])
 
     rest = [c for c in rows.columns if c not in ("batch_id", "pos")]
-    dealt = rows.select("batch_id", "pos", *rest).where(F.col("batch_id").isNotNull()).repartition("batch_id").sortWithinPartitions("batch_id", "pos")
+    found = rows.select("batch_id", "pos", *rest).where(F.col("batch_id").isNotNull())
+    ordered = (found if dealt else found.repartition("batch_id")).sortWithinPartitions("batch_id", "pos")
     schema = T.StructType([rows.schema["batch_id"], *(T.StructField(n, k) for n, k in fields.items())])
-    return dealt.mapInArrow(each, schema)
+    return ordered.mapInArrow(each, schema)

@@ -32,9 +32,9 @@ def json_value(o: Output, schema: Schema) -> Column:
     f = o.field
     c = F.col(f.column)
     if f.kind == "U16Dictionary":
-        return text.json_string(codes.symbol(c, schema.dictionaries[f.dictionary], schema.base(f.dictionary)))
+        return codes.symbol(c, [text.json_literal(v) for v in schema.dictionaries[f.dictionary]], schema.base(f.dictionary))
     if f.kind == "U64BitmaskDictionary":
-        return _list(F.transform(codes.symbols_of(c, schema.dictionaries[f.dictionary]), text.json_string))
+        return _list(codes.symbols_of(c, [text.json_literal(v) for v in schema.dictionaries[f.dictionary]]))
     if f.element:
         return _list(F.transform(c, lambda x: _scalar(f.element, x, text.json_string)))
     return _scalar(f.kind, c, text.json_string)
@@ -46,11 +46,12 @@ def csv_value(o: Output, schema: Schema) -> Column:
         return F.concat(F.lit('"'), text.utc(F.col(o.utc_of.column)), F.lit('"'))
     f = o.field
     c = F.col(f.column)
+    quoted_text = lambda v: '"' + v.replace('"', '""') + '"'
     quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
     if f.kind == "U16Dictionary":
-        return text.csv_string(codes.symbol(c, schema.dictionaries[f.dictionary], schema.base(f.dictionary)))
+        return codes.symbol(c, [quoted_text(v) for v in schema.dictionaries[f.dictionary]], schema.base(f.dictionary))
     if f.kind == "U64BitmaskDictionary":
-        return quoted(_list(F.transform(codes.symbols_of(c, schema.dictionaries[f.dictionary]), text.csv_array_string)))
+        return quoted(_list(codes.symbols_of(c, [text.json_literal(v, False).replace('"', '""') for v in schema.dictionaries[f.dictionary]])))
     if f.element:
         return quoted(_list(F.transform(c, lambda x: _scalar(f.element, x, text.csv_string))))
     return _scalar(f.kind, c, text.csv_string)

@@ -243,6 +243,7 @@ def test_strings_as_text(spark):
     assert json.loads(row[0]) == raw and "\\u001f" in row[0] and "\\b" in row[0]
     assert row[1] == '"' + raw.replace('"', '""') + '"'
     assert row[2].startswith('""a\\""b') and "\\u0008" in row[2] and "\\u000a" in row[2]
+    assert (text.json_literal(raw), text.json_literal(raw, False).replace('"', '""')) == (row[0], row[2])
     assert len(row[3]) == 136 and "\n" not in row[3]
 
 
