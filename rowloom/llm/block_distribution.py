@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._store import with_fields
+from ._store import arrow_map, with_fields
 
 WINDOW = 3
 THRESHOLD = 86
@@ -95,7 +95,8 @@ def role(name: str, attrs: str) -> str:
         return "bad"
     if words & HEADER_WORDS and not words & GOOD_WORDS:
         return "header"
-    return "main" if name in MAIN else ""
+    body = name in ("div", "section") and ("article" in words or "articlebody" in words or {"body", "content"} & words and {"post", "entry", "story"} & words)
+    return "main" if name in MAIN or body else ""
 
 
 class Lines:
@@ -263,7 +264,7 @@ def extracted(pages: DataFrame, keys: list[str], html: str = "html") -> DataFram
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*keys, "text", "n_chars"])
 
     schema = with_fields(pages.select(*keys).schema, text=T.StringType(), n_chars=T.LongType())
-    return pages.select(*keys, html).mapInArrow(each, schema)
+    return arrow_map(pages.select(*keys, html), each, schema)
 
 
 def op1_block_distribution(pages: DataFrame) -> DataFrame:

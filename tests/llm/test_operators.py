@@ -63,6 +63,7 @@ PAGES = [
     ("<div class='cookie-notice'>We use cookies</div><article><p>A<script>if (a < b) { x = '</p>' }</script>B</p><style>p{}</style></article>", "AB"),
     ("<article><p>cut off in the mid", "cut off in the mid"),
     ("<nav><a>x</a><article><p>Body</p></article>", "Body"),
+    ("<div class=top>Welcome to the site, which has a long line of greetings for all of its readers here</div><div class='post-content'><h2>T</h2><p>x</p></div><div>more of the site, and a long line about nothing that is of any use to the readers of it</div>", "T\nx"),
     ("<p title='a > b'>quoted</p><!-- <p>no</p> -->", "quoted"),
     ("<article>" + "<p>word</p>" * 3000 + "</article>", "\n".join(["word"] * 3000)),
 ]
