@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -54,6 +55,17 @@ def _clean() -> None:
             return
 
 
+#: Bytes of rows that go to a Python worker at a time, so that batches of long texts stay small.
+ARROW_BYTES = 8 << 20
+ARROW_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def arrow_map(df: DataFrame, each: Callable, schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow over batches of bounded size; the setting holds for the session."""
+    df.sparkSession.conf.set(ARROW_CONF, str(ARROW_BYTES))
+    return df.mapInArrow(each, schema)
+
+
 def with_fields(schema: T.StructType, **kinds: T.DataType) -> T.StructType:
     """schema with more nullable fields; schema itself stays as it is."""
     return T.StructType([*schema.fields, *(T.StructField(n, k, True) for n, k in kinds.items())])

@@ -40,13 +40,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import with_fields, written
+from ._store import arrow_map, with_fields, written
 
 BITS = 64
 CHUNK = 1 << 17
 LIMIT = 4096
 #: Shingle hashes of a component that one task streams over.
-BOUND = 1 << 26
+BOUND = 1 << 24
 BROADCAST_ROWS = 100_000
 
 
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64), pa.int64())], [key, "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(each, f"`{key}` {kind}, fp bigint")
+    return arrow_map(docs.select(key, text), each, f"`{key}` {kind}, fp bigint")
 
 
 def set_fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -104,13 +104,12 @@ def set_fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [words_of(t.as_py()) for t in b.column(1)]
-            prints = np.array([simhash_of_set(w) for w in texts], np.uint64)
-            wholes = np.array([xxhash.xxh64_intdigest(b" ".join(w), 7) for w in texts], np.uint64)
+            both = [(simhash_of_set(w), xxhash.xxh64_intdigest(b" ".join(w), 7)) for w in (words_of(t.as_py()) for t in b.column(1))]
+            prints, wholes = np.array(both, np.uint64).reshape(-1, 2).T.copy()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64)), pa.array(wholes.view(np.int64))], [key, "fp", "whole"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(each, f"`{key}` {kind}, fp bigint, whole bigint")
+    return arrow_map(docs.select(key, text), each, f"`{key}` {kind}, fp bigint, whole bigint")
 
 
 def shingle_sets(docs: DataFrame, keys: list[str], text: str, width: int) -> DataFrame:
@@ -121,7 +120,7 @@ def shingle_sets(docs: DataFrame, keys: list[str], text: str, width: int) -> Dat
             sets = [np.unique(np.concatenate([c.astype(np.uint64) for c in shingle_hashes(words_of(t.as_py()), width)] or [np.zeros(0, np.uint64)])).view(np.int64) for t in b.column(len(keys))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(sets, pa.list_(pa.int64()))], [*keys, "set"])
 
-    return docs.select(*keys, text).mapInArrow(each, with_fields(docs.select(*keys).schema, set=T.ArrayType(T.LongType())))
+    return arrow_map(docs.select(*keys, text), each, with_fields(docs.select(*keys).schema, set=T.ArrayType(T.LongType())))
 
 
 def covering_masks(radius: int = 3, bits: int = BITS) -> list[int]:
@@ -169,7 +168,7 @@ def links(prints: DataFrame, radius: int = 3, limit: int = LIMIT) -> DataFrame:
             pairs = [p for i in range(len(lists)) for p in forest(flat[offsets[i] : offsets[i + 1]], radius)]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
-    found = gathered.mapInArrow(each, "a bigint, b bigint")
+    found = arrow_map(gathered, each, "a bigint, b bigint")
     hot = shared.where(F.col("n") > limit)
     if not hot.isEmpty():
         found = found.union(met(hot, masks, radius))
@@ -305,7 +304,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         left = shrunk.where("not __like").drop("__like")
     ordered = left.repartition("__comp").sortWithinPartitions("__comp", "__least")
     kind = left.schema["__least"].dataType
-    goes = ordered.mapInArrow(lambda batches: covered(batches, similarity), T.StructType([T.StructField("__least", kind)]))
+    goes = arrow_map(ordered, lambda batches: covered(batches, similarity), T.StructType([T.StructField("__least", kind)]))
     gone = written(goes if gone is None else gone.union(goes), "gone")
     kept = nodes.join(gone, "__least", "left_anti")
     stays = kept.select(F.col("__least").alias("__stays"))

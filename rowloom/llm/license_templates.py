@@ -26,6 +26,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._store import arrow_map
+
 #: Phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
@@ -217,7 +219,7 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", base: dict
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(spans, kind)], [key, "n_words", "spans"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(each, f"`{key}` {kind}, n_words bigint, spans array<struct<start:bigint,stop:bigint,label:string,is_base:boolean>>")
+    return arrow_map(docs.select(key, text), each, f"`{key}` {kind}, n_words bigint, spans array<struct<start:bigint,stop:bigint,label:string,is_base:boolean>>")
 
 
 def op3_license_templates(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._store import own_columns, with_fields
+from ._store import arrow_map, own_columns, with_fields
 
 #: Encoded matches that one worker remembers; beyond it the table starts anew.
 REMEMBERED = 1_000_000
@@ -249,7 +249,7 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, patter
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], ids], [*rest, "ids"])
 
     schema = with_fields(docs.select(*rest).schema, ids=T.ArrayType(T.IntegerType()))
-    return docs.select(*rest, text).mapInArrow(each, schema)
+    return arrow_map(docs.select(*rest, text), each, schema)
 
 
 def decoded(rows: DataFrame, ids: str = "ids", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -265,7 +265,7 @@ def decoded(rows: DataFrame, ids: str = "ids", text: str = "text", path: str | N
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], texts], [*rest, text])
 
     schema = with_fields(rows.select(*rest).schema, **{text: T.StringType()})
-    return rows.select(*rest, ids).mapInArrow(each, schema)
+    return arrow_map(rows.select(*rest, ids), each, schema)
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -284,7 +284,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(made, pa.string()), pa.array(back, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(each, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs.select(key, text), each, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_prefix_bpe(docs: DataFrame) -> DataFrame:

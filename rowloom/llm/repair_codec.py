@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._store import new_path
+from ._store import arrow_map, new_path
 
 MAGIC = b"RPG1"
 BLOCK = 1 << 20
@@ -242,7 +242,7 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
             yield row()
 
     dealt = docs.select(F.col(key).cast("long").alias("__k"), F.col(text).alias("__t")).repartitionByRange(n, F.col("__k").asc_nulls_first()).sortWithinPartitions(F.col("__k").asc_nulls_first(), F.col("__t").asc_nulls_first())
-    dealt.mapInArrow(each, "shard int, block int, start bigint, n_ids bigint, data binary").write.parquet(path)
+    arrow_map(dealt, each, "shard int, block int, start bigint, n_ids bigint, data binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
@@ -261,7 +261,7 @@ def read(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
                 columns = [pa.array([shard] * len(crcs), pa.int32()), pa.array(x.keys, pa.int64()), pa.array(at[:-1] + start, pa.int64()), pa.array(np.diff(at), pa.int64()), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["__s", key, "__at", "n_tokens", "ids_crc32"])
 
-    rows = table.select("shard", "start", "data").mapInArrow(each, f"__s int, `{key}` bigint, __at bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = arrow_map(table.select("shard", "start", "data"), each, f"__s int, `{key}` bigint, __at bigint, n_tokens bigint, ids_crc32 bigint")
     return rows.join(F.broadcast(bases), F.col("__s") == F.col("__shard")).select(key, (F.col("__base") + F.col("__at")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import with_fields, written
+from ._store import arrow_map, with_fields, written
 
 BLOCK, ALLOW = "block", "allow"
 #: The given rules and their verdicts.
@@ -117,7 +117,7 @@ def prepared(pages: DataFrame, keys: list[str], url: str, rules: dict[str, str])
             found = [given.fit(h, p) for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, "rule"])
 
-    return rows.mapInArrow(each, with_fields(rows.schema, rule=T.StringType()))
+    return arrow_map(rows, each, with_fields(rows.schema, rule=T.StringType()))
 
 
 def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, width: int = WIDTH, known: float = KNOWN) -> list[Mined]:
@@ -158,7 +158,7 @@ def judged(pages: DataFrame, keys: list[str], url: str = "url", rules: dict[str,
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *extra], [*names, "verdict", "mined_rule", "confidence"])
 
     schema = with_fields(rows.select(*keys, "host", "path", "rule").schema, verdict=T.StringType(), mined_rule=T.StringType(), confidence=T.DoubleType())
-    return rows.mapInArrow(each, schema)
+    return arrow_map(rows, each, schema)
 
 
 def op6_url_rules(pages: DataFrame) -> DataFrame:
