@@ -18,7 +18,7 @@ from rowloom.plans.model import FNV_BASIS, FNV_PRIME, SCALARS, U64, Field, Schem
 NUMPY = {"H": "<u2", "Q": "<u8", "i": "<i4", "I": "<u4", "q": "<i8", "f": "<f4", "d": "<f8", "?": "u1"}
 INLINE = 8
 #: Below so many batches a plain loop folds faster than vectors over batches.
-FEW = 24
+FEW = 48
 
 
 def kind_of(f: Field) -> np.dtype:
