@@ -15,12 +15,13 @@ one flip of x and two of y), which is a grouped minimum and grows in proportion
 radii one flip and radius - 1 flips are taken. Components come from alternating large and small stars,
 each round written to the shared folder.
 
-Near duplicates in the sense of word shingles (similar()) are found among fingerprints of the set of a
-text's words, in which an edit of one word weighs little, at a wider radius; what links is then compared
-by the Jaccard coefficient of the shingle sets. In each component documents are taken in ascending id
-and one is kept unless a kept one is similar. A task streams over components in that order and holds the
-sets of those kept, indexed by the few smallest hashes that similar sets must share. A component of more
-than `bound` hashes is first made smaller by rounds that compare all of it with its first document.
+Near duplicates in the sense of word shingles (similar()) are found by an exact prefix join, without
+fingerprints: in an order that is the same for all, rare shingles first, similar sets share one of their
+first elements. Texts that share one are compared through hubs and linked; in each component documents are
+taken in ascending id and one is kept unless a kept one is similar. A task streams over components in
+that order and holds the sets of those kept, indexed by the few smallest hashes that similar sets must
+share. A component of more than `bound` hashes is first made smaller by rounds that compare all of it
+with its first document.
 
 Defined results: null and empty texts have the fingerprint zero and are linked like any other; a null
 id takes part, but never names a component (component_id is null only if no member has an id); repeated
@@ -48,6 +49,8 @@ LIMIT = 4096
 #: Shingle hashes of a component that one task streams over.
 BOUND = 1 << 24
 BROADCAST_ROWS = 100_000
+#: Texts from which the order of shingles is taken, how many shingles it holds, and hubs before all pairs.
+SAMPLE, USUAL, ROUNDS = 8_000, 200_000, 4
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -99,17 +102,56 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     return arrow_map(docs.select(key, text), each, f"`{key}` {kind}, fp bigint")
 
 
-def set_fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, fp, whole): fp of the set of words, whole of the words in their order."""
+def shingle_set(words: list[bytes], width: int) -> np.ndarray:
+    """The sorted different hashes of the shingles."""
+    return np.unique(np.concatenate([c.astype(np.uint64) for c in shingle_hashes(words, width)] or [np.zeros(0, np.uint64)])).view(np.int64)
+
+
+def prefix(own: np.ndarray, usual: np.ndarray, places: np.ndarray, similarity: float) -> np.ndarray:
+    """The first elements of a set, what is left when `similarity` of it is taken from its end.
+
+    Elements that are not in usual (sorted) come first, then those that are by their places; whatever the
+    order, if it is the same for all, sets that are similar have one of their first elements in common.
+    """
+    at = np.minimum(np.searchsorted(usual, own), max(0, len(usual) - 1))
+    rank = np.where(usual[at] == own, places[at], -1) if len(usual) else np.full(len(own), -1)
+    return own[np.lexsort((own, rank))][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1] if len(own) else own
+
+
+def usual_shingles(docs: DataFrame, key: str, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample repeats, sorted, and their places from rare to frequent. They only set an order."""
+    rows = docs.where(F.col(text).isNotNull()).select(key, text)
+    part = max(1, rows.count() // SAMPLE)
+    some = rows.where(F.pmod(F.xxhash64(key), F.lit(part)) == 0).dropDuplicates([text])
+    each = shingle_sets(some, [key], text, width).select(F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
+    found = each.orderBy(F.desc("n"), "x").limit(USUAL).collect()  # at most USUAL rows
+    found.sort(key=lambda r: r["x"])
+    usual, n = np.array([r["x"] for r in found], np.int64), np.array([r["n"] for r in found], np.int64)
+    places = np.empty(len(n), np.int64)
+    places[np.lexsort((usual, n))] = np.arange(len(n))
+    return usual, places
+
+
+def prefixes(docs: DataFrame, key: str, text: str, width: int, similarity: float) -> DataFrame:
+    """(key, one, whole, first): two hashes of the words in their order, and the prefix of the shingle set."""
+    sc = docs.sparkSession.sparkContext
+    told = sc.broadcast(usual_shingles(docs, key, text, width))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usual, places = told.value
         for b in batches:
-            both = [(simhash_of_set(w), xxhash.xxh64_intdigest(b" ".join(w), 7)) for w in (words_of(t.as_py()) for t in b.column(1))]
-            prints, wholes = np.array(both, np.uint64).reshape(-1, 2).T.copy()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64)), pa.array(wholes.view(np.int64))], [key, "fp", "whole"])
+            hashes, first = [], []
+            for t in b.column(1):
+                words = words_of(t.as_py())
+                line, own = b" ".join(words), shingle_set(words, width)
+                hashes.append((xxhash.xxh64_intdigest(line, 42), xxhash.xxh64_intdigest(line, 7)))
+                first.append(prefix(own, usual, places, similarity))
+            one, whole = np.array(hashes, np.uint64).reshape(-1, 2).T.copy()
+            columns = [b.column(0), pa.array(one.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, [key, "one", "whole", "first"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return arrow_map(docs.select(key, text), each, f"`{key}` {kind}, fp bigint, whole bigint")
+    return arrow_map(docs.select(key, text), each, f"`{key}` {kind}, one bigint, whole bigint, first array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, keys: list[str], text: str, width: int) -> DataFrame:
@@ -117,7 +159,7 @@ def shingle_sets(docs: DataFrame, keys: list[str], text: str, width: int) -> Dat
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(np.concatenate([c.astype(np.uint64) for c in shingle_hashes(words_of(t.as_py()), width)] or [np.zeros(0, np.uint64)])).view(np.int64) for t in b.column(len(keys))]
+            sets = [shingle_set(words_of(t.as_py()), width) for t in b.column(len(keys))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], pa.array(sets, pa.list_(pa.int64()))], [*keys, "set"])
 
     return arrow_map(docs.select(*keys, text), each, with_fields(docs.select(*keys).schema, set=T.ArrayType(T.LongType())))
@@ -272,22 +314,74 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **how
     return _without(docs, key, written(ids, "ids"))
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 5, limit: int = LIMIT, bound: int = BOUND) -> DataFrame:
+def jaccard(a: str, b: str) -> Column:
+    """The coefficient of two columns of sets that are not both empty."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
+
+
+def alike(rows: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """(a, b): edges so that of rows (x, id), any two ids of one x whose sets are similar are connected.
+
+    The smallest id of an x is its hub, and all its ids are compared with it. An id that is similar to the
+    hub need not meet others of the x: 1 - Jaccard is a metric, so those are within twice the distance of
+    the hub, and what lies within it is linked. The rest meet the next hub. After ROUNDS hubs all pairs of
+    what is left are compared; as prefixes begin with rare shingles, few texts are. sets_of(ids) gives the
+    sets (id, size, set) of the ids that share an x.
+    """
+    wide = 2 * similarity - 1
+    sets = edges = None
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        a, b = (sets.select(F.col("id").alias(n), F.col("size").alias(f"size_{n}"), F.col("set").alias(f"set_{n}")) for n in ("a", "b"))
+        sized = pairs.distinct().join(a.drop("set_a"), "a").join(b.drop("set_b"), "b")
+        near = sized.where(F.least("size_a", "size_b") >= wide * F.greatest("size_a", "size_b") - 1e-9).select("a", "b")
+        both = near.join(b, "b").join(a, "a")
+        return written(both.select("a", "b", jaccard("set_a", "set_b").alias("j")).where(F.col("j") >= wide - 1e-9), "pairs")
+
+    for _ in range(ROUNDS):
+        hubs = rows.groupBy("x").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("x", "a")
+        met = written(rows.join(hubs, "x").where(F.col("id") != F.col("a")), "met")
+        if sets is None:
+            sets = sets_of(met.select("id").union(met.select("a")).distinct())
+        found = compared(met.select("a", F.col("id").alias("b")))
+        edges = found.select("a", "b") if edges is None else edges.union(found.select("a", "b"))
+        close = found.where(F.col("j") >= similarity).select("a", F.col("b").alias("id"))
+        rows = written(met.join(close, ["a", "id"], "left_anti").select("x", "id"), "rest")
+        if rows.isEmpty():
+            return edges
+    rest = rows.alias("p").join(rows.alias("q"), (F.col("p.x") == F.col("q.x")) & (F.col("p.id") < F.col("q.id")))
+    return edges.union(compared(rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))).select("a", "b"))
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bound: int = BOUND) -> DataFrame:
     """(key, stays, n): which documents stay if near duplicates go; n is how many rows have the key.
 
     Two texts are near duplicates if the Jaccard coefficient of their sets of width-word shingles is at
-    least `similarity`. A text goes if its component holds a similar text of a smaller key that stays;
-    of equal texts the smallest key stands for all.
+    least `similarity`. In ascending key, a text goes if it is similar to one that stays; of equal texts
+    the smallest key stands for all.
     """
-    base = written(set_fingerprints(docs.where(F.col(key).isNotNull()), key, text), "prints")
-    nodes = written(base.groupBy("fp", "whole").agg(F.min(key).alias("__least")), "nodes")
-    roots = components(links(nodes.select("fp").distinct(), radius, limit))
-    placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("__least", F.coalesce("root", "fp").alias("__comp"))
-    crowded = placed.groupBy("__comp").agg(F.count("*").alias("__n")).where(F.col("__n") > 1).select("__comp")
-    contested = written(placed.join(crowded, "__comp"), "contested")
-    small = contested.count() <= BROADCAST_ROWS
-    texts = docs.select(key, text).join(F.broadcast(contested) if small else contested, F.col(key) == F.col("__least")).dropDuplicates([key])
-    left = written(shingle_sets(texts, ["__comp", "__least"], text, width), "sets")
+    named = docs.where(F.col(key).isNotNull())
+    base = written(prefixes(named, key, text, width, similarity), "prints")
+    nodes = written(base.groupBy("one", "whole").agg(F.min(key).alias("__least")), "nodes")
+    follow = base.select(key).join(nodes.select(F.col("__least").alias(key)), key, "left_anti").distinct()
+    if follow.count() <= BROADCAST_ROWS:
+        follow = F.broadcast(follow)
+    rows = base.join(follow, key, "left_anti").select(F.explode("first").alias("x"), F.col(key).alias("id"))
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        contested = written(ids.select(F.col("id").alias("__least")), "contested")
+        small = contested.count() <= BROADCAST_ROWS
+        texts = docs.select(key, text).join(F.broadcast(contested) if small else contested, F.col(key) == F.col("__least")).dropDuplicates([key])
+        found.append(written(shingle_sets(texts, ["__least"], text, width), "sets"))
+        return found[0].select(F.col("__least").alias("id"), F.size("set").alias("size"), "set")
+
+    found: list[DataFrame] = []
+    roots = components(alike(rows, sets_of, similarity))
+    sets = found[0]
+    placed = roots.select(F.col("node").alias("__least"), F.col("root").alias("__comp"))
+    placed = placed.union(roots.select("root", "root").distinct())
+    left = written(sets.join(placed, "__least").select("__comp", "__least", "set"), "sets")
     gone = None
     while True:
         large = left.groupBy("__comp").agg(F.sum(F.size("set")).alias("__h"), F.count("*").alias("__m")).where((F.col("__h") > bound) & (F.col("__m") > 1)).select("__comp")

@@ -463,6 +463,41 @@ def test_similar_texts_go(spark, bound):
     assert len([1 for r in covering_simhash.without_similar(docs).collect() if r.doc_id == 0]) == 1
 
 
+def test_every_similar_pair_meets(spark):
+    """Copies that are cut, extended or edited in places, against plain all-pairs Jaccard."""
+    import random
+
+    rng = random.Random(11)
+    found, n = {}, 0
+    common = [f"c{i}" for i in range(30)]
+    for _ in range(40):
+        words = [f"v{rng.randrange(20_000)}" for _ in range(rng.choice([60, 150, 300]))] + common
+        copies = [words, words[: len(words) * 83 // 100], words[len(words) // 8 :], words + [f"n{n}x{i}" for i in range(len(words) // 6)]]
+        for copy in copies + [[w if rng.random() > 0.02 else f"e{n}y{i}" for i, w in enumerate(words)] for _ in range(3)]:
+            found[n], n = " ".join(copy), n + 1
+    sets, kept = {i: shingles(t) for i, t in found.items()}, []
+    for i in sorted(found):
+        if not any(len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]) for k in kept):
+            kept.append(i)
+    docs = spark.createDataFrame([*found.items()], "doc_id long, text string").repartition(5)
+    got = sorted(r.doc_id for r in covering_simhash.similar(docs).collect() if r.stays)
+    assert got == kept and len(kept) < len(found)
+
+
+@pytest.mark.parametrize("rounds", [1, 4])
+def test_pairs_beyond_the_hubs(spark, rounds, monkeypatch):
+    """A chain in which only neighbours are similar, whatever the number of hubs."""
+    monkeypatch.setattr(covering_simhash, "ROUNDS", rounds)
+    words = [f"w{i}" for i in range(420)]
+    docs = spark.createDataFrame([(i, " ".join(words[10 * i : 10 * i + 150])) for i in range(25)], "doc_id long, text string")
+    got = sorted(r.doc_id for r in covering_simhash.similar(docs).collect() if r.stays)
+    sets, kept = [shingles(" ".join(words[10 * i : 10 * i + 150])) for i in range(25)], []
+    for i in range(25):
+        if not any(len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]) for k in kept):
+            kept.append(i)
+    assert got == kept
+
+
 # 9
 
 
