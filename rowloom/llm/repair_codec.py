@@ -2,12 +2,12 @@
 
 Texts are dealt by ranges of their key, sorted, encoded, and packed into blocks of about a million ids
 (a longer document is a block of its own). In each block the most frequent pairs of neighbouring ids are
-replaced by new symbols, again and again, until no pair is frequent. A block stores its rules, the
+replaced by new symbols, again and again, until no pair occurs four times. A block stores its rules, the
 expansion length of every rule, the sequence, checkpoints of the id position at every 256th symbol, and
 the key and id range of each document; so any range of ids is decoded from the checkpoint before it.
 
-Block layout, little-endian: b"RPG1"; u32 base, rules, symbols, documents; u64 ids; u32 pairs[rules][2];
-u32 lengths[rules]; u16 or u32 symbols (u16 if base + rules <= 65536); u64 checkpoints[ceil(symbols / 256)];
+Block layout, little-endian: b"RPG2"; u32 base, rules, symbols, documents; u64 ids; pairs[rules][2] and, after
+u32 lengths[rules], symbols, both in as few bits as base + rules need and padded to a byte; u64 checkpoints[ceil(symbols / 256)];
 i64 keys[documents]; u8 has_key[documents]; u64 starts[documents + 1], ids before each document.
 
 Blocks are rows of a Parquet table, so that the writer's commit protocol holds: an attempt that dies, or
@@ -37,15 +37,16 @@ from pyspark.sql.window import Window
 
 from ._store import arrow_map, new_path
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 BLOCK = 1 << 20
 EVERY = 256
 END = 2
-#: A pair is frequent if it is at least one in so many of the neighbours in its block, and 4 at least.
-RARITY = 1000
-#: Pairs of a round, the most frequent first; with 1 this is Re-Pair in its strictest order.
-AT_ONCE = 512
+#: A pair is replaced as long as it occurs so often in its block: a rule takes about 8 bytes, an occurrence 2.
+LEAST = 4
+#: A round takes the pairs that occur at least one STEP-th as often as the most frequent one.
+STEP = 8
 BUCKETS = 20
+NO_PAIR = np.uint64(2**64 - 1)
 REMEMBERED = 1_000_000
 
 #: The tokenizer's pattern over letters below U+0250, for which its normalizer is str.lower.
@@ -105,46 +106,90 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def grammar(ids: np.ndarray, rarity: int = RARITY, at_once: int = AT_ONCE) -> tuple[int, np.ndarray, np.ndarray]:
+def grammar(ids: np.ndarray, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray]:
     """(base, rules as pairs, sequence): symbols from base on stand for their rule's pair."""
     base = int(ids.max(initial=0)) + 1
     seq, rules = ids.astype(np.uint32), []
     while len(seq) > 1:
-        least = max(4, len(seq) // rarity)
         keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        hashed = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int32)
-        counts = np.bincount(hashed, minlength=1 << BUCKETS)
-        likely = np.flatnonzero((counts >= least)[hashed])
+        # in a run of one id every second pair overlaps the one before
+        alike = np.flatnonzero(seq[:-1] == seq[1:])
+        at = np.arange(len(alike))
+        first = np.diff(alike, prepend=-2) != 1
+        keys[alike[(at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 1]] = NO_PAIR
+        hashed = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int64)
+        likely = np.flatnonzero((np.bincount(hashed, minlength=1 << BUCKETS) >= least)[hashed] & (keys != NO_PAIR))
         pairs, n = np.unique(keys[likely], return_counts=True)
-        order = np.lexsort((pairs, -n))
-        pairs = pairs[order[n[order] >= least][:at_once]]
-        if not len(pairs):
+        most = int(n.max(initial=0))
+        if most < least:
             break
-        pairs.sort()
-        at = np.searchsorted(pairs, keys[likely])
-        hit = pairs[np.minimum(at, len(pairs) - 1)] == keys[likely]
-        places, symbol = likely[hit], at[hit]
-        # of places that follow each other at once every second one is free
-        first = np.concatenate(([True], np.diff(places) != 1))
-        run = np.arange(len(places)) - np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))
-        free = run % 2 == 0
+        enough = n >= max(least, most // STEP)
+        pairs, n = pairs[enough], n[enough]
+        # a pair is found by its bucket; of pairs in one bucket the most frequent one, the others in a later round
+        order = np.argsort(n, kind="stable")
+        slots = np.full(1 << BUCKETS, -1)
+        slots[((pairs[order] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int64)] = order
+        symbol = slots[hashed[likely]]
+        hit = (symbol >= 0) & (pairs[symbol] == keys[likely])
+        places, symbol = likely[hit], symbol[hit]
+        # of places that overlap the more frequent pair's is free, so all of the most frequent pair's are
+        mine, touch = n[symbol] << 32 | symbol, np.diff(places) == 1
+        free = np.ones(len(places), bool)
+        free[1:] &= ~touch | (mine[1:] > mine[:-1])
+        free[:-1] &= ~touch | (mine[:-1] > mine[1:])
         places, symbol = places[free], symbol[free]
-        used, symbol = np.unique(symbol, return_inverse=True)
-        top = base + len(rules)
-        rules += [(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in pairs[used]]
-        seq[places] = (top + symbol).astype(np.uint32)
-        seq = np.delete(seq, places + 1)
+        worth = np.bincount(symbol, minlength=len(pairs)) >= least
+        places, symbol = places[worth[symbol]], symbol[worth[symbol]]
+        used = np.flatnonzero(np.bincount(symbol, minlength=len(pairs)))
+        names = np.zeros(len(pairs), np.uint32)
+        names[used] = base + len(rules) + np.arange(len(used))
+        rules += [(p >> 32, p & 0xFFFFFFFF) for p in pairs[used].tolist()]
+        seq[places] = names[symbol]
+        stay = np.ones(len(seq), bool)
+        stay[places + 1] = False
+        seq = seq[stay]
     return base, np.array(rules, np.uint32).reshape(-1, 2), seq
 
 
+def rule_lengths(base: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every rule: how many ids it stands for, and how deep it is."""
+    lengths, depths = [], []
+    for a, b in rules.tolist():
+        n, d = (lengths[a - base], depths[a - base]) if a >= base else (1, 0)
+        m, e = (lengths[b - base], depths[b - base]) if b >= base else (1, 0)
+        lengths.append(n + m)
+        depths.append(1 + max(d, e))
+    return np.array(lengths, np.int64), np.array(depths, np.int64)
+
+
 def expansions(base: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every symbol: its length, where its ids start in a table, and the table."""
-    parts = [np.array([0], np.uint32)] * len(rules)
-    for i, (a, b) in enumerate(rules.tolist()):
-        parts[i] = np.concatenate([parts[x - base] if x >= base else np.array([x], np.uint32) for x in (a, b)])
-    lengths = np.concatenate((np.ones(base, np.int64), np.fromiter(map(len, parts), np.int64, len(parts))))
-    table = np.concatenate([np.arange(base, dtype=np.uint32), *parts])
-    return lengths, np.concatenate(([0], np.cumsum(lengths)[:-1])), table
+    own, depths = rule_lengths(base, rules)
+    lengths = np.concatenate((np.ones(base, np.int64), own))
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    table = np.zeros(int(lengths.sum()), np.uint32)
+    table[:base] = np.arange(base, dtype=np.uint32)
+    for depth in range(1, int(depths.max(initial=0)) + 1):
+        some = np.flatnonzero(depths == depth)
+        to = starts[base + some]
+        for child in rules[some].T:
+            n = lengths[child]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            table[np.repeat(to, n) + step] = table[np.repeat(starts[child], n) + step]
+            to = to + n
+    return lengths, starts, table
+
+
+def to_bits(seq: np.ndarray, width: int) -> bytes:
+    """Symbols in width bits each, the lowest first."""
+    bits = np.unpackbits(seq.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+
+
+def from_bits(data: np.ndarray, width: int, n: int) -> np.ndarray:
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(data, count=n * width, bitorder="little").reshape(n, width)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
 
 
 def expand(seq: np.ndarray, lengths: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -153,20 +198,21 @@ def expand(seq: np.ndarray, lengths: np.ndarray, starts: np.ndarray, table: np.n
     return table[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[seq] - (ends - n), n)]
 
 
-def pack(keys: list[int | None], docs: list[np.ndarray], rarity: int = RARITY, at_once: int = AT_ONCE) -> bytes:
+def pack(keys: list[int | None], docs: list[np.ndarray], least: int = LEAST) -> bytes:
     """A block of documents."""
     ids = np.concatenate(docs) if docs else np.zeros(0, np.uint32)
-    base, rules, seq = grammar(ids, rarity, at_once)
-    lengths, _, _ = expansions(base, rules)
+    base, rules, seq = grammar(ids, least)
+    lengths = np.concatenate((np.ones(base, np.int64), rule_lengths(base, rules)[0]))
     before = np.cumsum(lengths[seq]) - lengths[seq]
+    width = (base + len(rules) - 1).bit_length()
     starts = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype("<u8")
     return b"".join(
         (
             MAGIC,
             struct.pack("<IIIIQ", base, len(rules), len(seq), len(docs), len(ids)),
-            rules.astype("<u4").tobytes(),
+            to_bits(rules, width),
             lengths[base:].astype("<u4").tobytes(),
-            seq.astype("<u2" if base + len(rules) <= 65536 else "<u4").tobytes(),
+            to_bits(seq, width),
             before[::EVERY].astype("<u8").tobytes(),
             np.array([0 if k is None else k for k in keys], "<i8").tobytes(),
             np.array([k is not None for k in keys], "u1").tobytes(),
@@ -190,9 +236,10 @@ class Block:
             at += out.nbytes
             return out
 
-        self.rules = take("<u4", 2 * n_rules).reshape(-1, 2)
+        width = (self.base + n_rules - 1).bit_length()
+        self.rules = from_bits(take("u1", -(-2 * n_rules * width // 8)), width, 2 * n_rules).reshape(-1, 2)
         self.rule_lengths = take("<u4", n_rules)
-        self.seq = take("<u2" if self.base + n_rules <= 65536 else "<u4", n)
+        self.seq = from_bits(take("u1", -(-n * width // 8)), width, n)
         self.marks = take("<u8", -(-n // EVERY))
         keys, has = take("<i8", docs).tolist(), take("u1", docs)
         self.keys = [k if h else None for k, h in zip(keys, has, strict=True)]

@@ -329,6 +329,22 @@ def test_grammar_and_random_access():
         assert (block.ids(a, b) == whole[a:b]).all()
 
 
+def test_pairs_are_replaced_until_none_occurs_four_times():
+    """Passages that occur 5 to 40 times among ids that do not repeat."""
+    rng = np.random.default_rng(2)
+    parts = [rng.integers(0, 300, 200) for _ in range(12)]
+    order = np.repeat(np.arange(12), rng.integers(5, 40, 12))
+    rng.shuffle(order)
+    ids = np.concatenate([np.concatenate((parts[i], [1000 + k])) for k, i in enumerate(order)] + [np.arange(2000, 60_000)]).astype(np.uint32)
+    base, rules, seq = repair_codec.grammar(ids)
+    assert (repair_codec.expand(seq, *repair_codec.expansions(base, rules)) == ids).all()
+    pairs, n = np.unique(np.stack((seq[:-1], seq[1:])), axis=1, return_counts=True)
+    assert n[pairs[0] != pairs[1]].max() < 4
+    assert len(seq) + len(rules) < 58_000 + 12 * 200 + 3 * len(order)
+    block = repair_codec.Block(repair_codec.pack([1], [ids]))
+    assert (block.document(0) == ids).all() and (block.ids(700, 70_000) == ids[700:70_000]).all()
+
+
 def test_words_are_encoded_as_in_texts():
     import random
 
