@@ -77,10 +77,11 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.words, self.other = re.compile(WORDS).findall, re.compile(OTHER).search
         self.letters = byte_letters().__getitem__
+        #: Texts that quote an added token, in any case, go through the library as a whole as well.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, part: str) -> bytes:
         words = self.words(part)
@@ -96,9 +97,10 @@ class WordIds(dict):
 
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of a text, then END."""
-        if text and self.other(text):
+        lower = (text or "").lower()
+        if text and (self.other(text) or any(t in lower for t in self.added)):
             return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END], np.uint32)
-        return np.frombuffer(b"".join(map(self.__getitem__, (text or "").lower().split())) + struct.pack("<I", END), "<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, lower.split())) + struct.pack("<I", END), "<u4")
 
 
 @lru_cache(maxsize=2)

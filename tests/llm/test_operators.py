@@ -356,6 +356,16 @@ def test_words_are_encoded_as_in_texts():
         assert words.ids(t)[:-1].tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    words = repair_codec.word_ids(repair_codec.default_tokenizer())
+    library = Tokenizer.from_file(repair_codec.default_tokenizer())
+    for t in ("hello <|endoftext|> world", "<|startoftext|>a", "a<|endoftext|>b c", "<|EndOfText|> x", "<| endoftext |>", "plain words"):
+        assert words.ids(t)[:-1].tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert words.ids("hello <|endoftext|> world").tolist() == [3306, 49407, 1002, 2]
+
+
 # 8
 
 
