@@ -7,8 +7,9 @@ window of three lines is summed. Where the sum rises from zero is a surge point,
 zero a dive point; text between a surge and its dive is kept if the sum reaches a threshold on the way.
 
 The threshold is 86 characters, or the page's highest sum if that is less, so the main text of a page of
-short lines is kept as well. If the page marks its article (article, main), lines outside of it weigh
-nothing and everything inside lies between surge and dive.
+short lines is kept as well. If the page marks its article (article, main), everything inside is kept, and
+of the lines outside those between surge and dive points whose sum reaches three thresholds, if together
+they are longer than all that is marked: a marked teaser does not hide the text beside it.
 
 Defined results: null and empty pages have empty text; unclosed and misnested tags are closed where a
 parent closes; text of any length is processed in one pass; repeated rows get a row each; an empty table
@@ -228,14 +229,11 @@ def lines_of(html: str) -> Lines:
     return out
 
 
-def main_lines(page: Lines, window: int = WINDOW, threshold: int = THRESHOLD) -> list[str]:
-    """Lines between surge and dive points of the windowed lengths."""
-    weight = [w if m else 0 for w, m in zip(page.weight, page.marked, strict=True)] if any(page.marked) else page.weight
+def runs(weight: list[int], least: int, window: int) -> list[int]:
+    """The lines between surge and dive points of runs whose windowed sum reaches least."""
     total = [0, *accumulate(weight)]
     n = len(weight)
     blocks = [total[min(n, i + window)] - total[i] for i in range(n)]
-    peak = max(blocks, default=0)
-    least = 1 if any(page.marked) else min(threshold, peak)
     out, i = [], 0
     while i < n:
         if not blocks[i]:
@@ -245,12 +243,25 @@ def main_lines(page: Lines, window: int = WINDOW, threshold: int = THRESHOLD) ->
         while dive < n and blocks[dive]:
             dive += 1
         if max(blocks[i:dive]) >= least:
-            surge = next(k for k in range(i, dive) if weight[k])
-            out += [page.text[k] for k in range(surge, dive) if page.text[k] and (weight[k] or not any(page.marked))]
+            out += range(next(k for k in range(i, dive) if weight[k]), dive)
         i = dive
     return out
 
 
+def main_lines(page: Lines, window: int = WINDOW, threshold: int = THRESHOLD) -> list[str]:
+    """Lines between surge and dive points of the windowed lengths."""
+    if not any(page.marked):
+        total = [0, *accumulate(page.weight)]
+        peak = max((total[min(len(page.weight), i + window)] - total[i] for i in range(len(page.weight))), default=0)
+        return [page.text[k] for k in runs(page.weight, min(threshold, peak), window) if page.text[k]]
+    inside = [k for k, (w, m) in enumerate(zip(page.weight, page.marked, strict=True)) if w and m]
+    rest = [0 if m else w for w, m in zip(page.weight, page.marked, strict=True)]
+    outside = [k for k in runs(rest, window * threshold, window) if page.text[k] and not page.marked[k]]
+    if sum(rest[k] for k in outside) <= sum(page.weight[k] for k in inside):
+        outside = []
+    return [page.text[k] for k in sorted(inside + outside)]
+
+
 def main_text(html: str | None) -> str:
     return "\n".join(main_lines(lines_of(html))) if html else ""
 

@@ -80,6 +80,15 @@ def test_surge_and_dive():
     assert block_distribution.main_lines(page) == ["a" * 60, "b" * 60, "short"]
 
 
+def test_a_marked_teaser_does_not_hide_the_text():
+    body = [f"Paragraph {i} of the text that readers came for, which goes on for more than one hundred characters, as main text does." for i in range(5)]
+    teaser = "<article><h3>Another story</h3><p>Short.</p></article>"
+    page = "<div>" + "".join(f"<p>{p}</p>" for p in body) + "</div>" + teaser
+    assert block_distribution.main_text(page).split("\n") == [*body, "Another story", "Short."]
+    long = "".join(f"<p>{p}</p>" for p in body * 2)
+    assert block_distribution.main_text(f"<article>{long}</article><div>" + "".join(f"<p>{p}</p>" for p in body) + "</div>").split("\n") == body * 2
+
+
 # 2
 
 
