@@ -9,7 +9,8 @@ table, and an edit recomputes it only until the old entries hold again for as lo
 Texts are cut by the vocabulary's pattern and each match is encoded on its own, as public libraries do;
 a match that is a token as a whole is that token.
 
-Each Python worker keeps one table of encoded matches of bounded size; a task streams over its rows.
+Each Python worker remembers encoded matches in two generations and the borders of tokens in one table, all
+of bounded size: some 60 MB beside the vocabulary. A task streams over its rows, and over the matches of a text.
 
 Defined results: null text is the empty text, which has no ids; ids of any text decode to its bytes
 exactly, whatever its length; repeated rows get equal results; an empty table gives no rows; columns
@@ -22,7 +23,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,11 +31,14 @@ from pyspark.sql import types as T
 
 from ._store import arrow_map, own_columns, with_fields
 
-#: Encoded matches that one worker remembers; beyond it the table starts anew.
-REMEMBERED = 1_000_000
-#: Characters of text that are split into matches at a time.
+#: Encoded matches in a generation. When it is full it becomes the old one, from which matches that occur again
+#: are taken over, and the old one goes.
+GENERATION = 80_000
+#: Borders of tokens that one worker remembers; beyond it the table starts anew.
+BORDERS = 200_000
+#: Characters of texts that are encoded together, and matches of a longer text that are encoded at a time.
 AT_ONCE = 1 << 20
-BORDERS = 1_000_000
+MATCHES = 1 << 16
 
 
 class Vocabulary:
@@ -179,10 +183,22 @@ class Encoder(dict):
         import regex
 
         self.vocabulary = Vocabulary(read_ranks(path))
-        self.matches = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.own = {i: i for i in self.vocabulary.bytes}  # one object for each id
+        self.old: dict[str, tuple[int, ...]] = {}
 
-    def learn(self, new: set[str]) -> None:
+    def know(self, matches: set[str]) -> None:
+        """See to it that the ids of all matches are here."""
+        if len(self) > GENERATION:
+            self.old = dict(self)
+            self.clear()
+        old, new = self.old, []
+        for match in matches.difference(self):
+            found = old.get(match)
+            if found is None:
+                new.append(match)
+            else:
+                self[match] = found
         table, own, ranks = Prefixes(self.vocabulary), self.own, self.vocabulary.ranks
         for match in sorted(new):
             data = match.encode()
@@ -194,18 +210,28 @@ class Encoder(dict):
                 self[match] = (own[whole],)
 
     def encode_all(self, texts: list[str | None]) -> list[list[int]]:
-        split = [self.matches(t or "") for t in texts]
-        here = set().union(*split)
-        new = {m for m in here if m not in self}
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = here
-        self.learn(new)
+        split = [self.pattern.findall(t or "") for t in texts]
+        self.know(set().union(*split))
         get = self.__getitem__
         return [list(chain.from_iterable(map(get, s))) for s in split]
 
+    def pieces(self, text: str) -> Iterator[list[int]]:
+        """The ids of a long text, MATCHES matches at a time."""
+        found = (m[0] for m in self.pattern.finditer(text))
+        while some := list(islice(found, MATCHES)):
+            self.know(set(some))
+            yield list(chain.from_iterable(map(self.__getitem__, some)))
+
+    def each(self, texts: list[str | None]) -> Iterator[Iterator[list[int]]]:
+        """Of each text its ids, in pieces."""
+        for run in runs(texts):
+            if len(run) == 1:
+                yield self.pieces(run[0] or "")
+            else:
+                yield from ([ids] for ids in self.encode_all(run))
+
     def encode(self, text: str | None) -> list[int]:
-        return self.encode_all([text])[0]
+        return list(chain.from_iterable(self.pieces(text or "")))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids))
@@ -245,7 +271,7 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, patter
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(where, cut)
         for b in batches:
-            ids = pa.array([x for run in runs(b.column(len(rest)).to_pylist()) for x in e.encode_all(run)], pa.list_(pa.int32()))
+            ids = pa.array([list(chain.from_iterable(x)) for x in e.each(b.column(len(rest)).to_pylist())], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], ids], [*rest, "ids"])
 
     schema = with_fields(docs.select(*rest).schema, ids=T.ArrayType(T.IntegerType()))
@@ -277,10 +303,15 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
         shown = {i: str(i) for i in e.vocabulary.bytes}.__getitem__
         for b in batches:
             n, made, back = [], [], []
-            for ids in (x for run in runs(b.column(1).to_pylist()) for x in e.encode_all(run)):
-                n.append(len(ids))
-                made.append(hashlib.sha256(" ".join(map(shown, ids)).encode()).hexdigest())
-                back.append(hashlib.sha256(e.decode(ids)).hexdigest())
+            for pieces in e.each(b.column(1).to_pylist()):
+                size, ids_sum, text_sum = 0, hashlib.sha256(), hashlib.sha256()
+                for ids in pieces:
+                    ids_sum.update((" " * bool(size and ids) + " ".join(map(shown, ids))).encode())
+                    text_sum.update(e.decode(ids))
+                    size += len(ids)
+                n.append(size)
+                made.append(ids_sum.hexdigest())
+                back.append(text_sum.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(made, pa.string()), pa.array(back, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
