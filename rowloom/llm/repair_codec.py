@@ -2,7 +2,7 @@
 
 Texts are dealt by ranges of their key, sorted, encoded, and packed into blocks of about a million ids
 (a longer document is a block of its own). In each block the most frequent pairs of neighbouring ids are
-replaced by new symbols, again and again, until no pair occurs four times. A block stores its rules, the
+replaced by new symbols, level by level of frequency, until no pair occurs four times. A block stores its rules, the
 expansion length of every rule, the sequence, checkpoints of the id position at every 256th symbol, and
 the key and id range of each document; so any range of ids is decoded from the checkpoint before it.
 
@@ -17,7 +17,9 @@ Scale: one shuffle of the texts by key range; a task holds one block. Positions
 from the totals of shards, as many as there are partitions.
 
 Defined results: null text is empty, and a document always has at least its end id; null keys come first;
-rows that share a key are ordered by text; an empty table gives no rows; other columns do not matter.
+rows that share a key are ordered by a hash of their text, so that many of them are split over tasks, equal ones
+too (which of equal rows comes first makes no difference); an empty table gives no rows; other columns do not
+matter.
 """
 
 from __future__ import annotations
@@ -43,18 +45,26 @@ EVERY = 256
 END = 2
 #: A pair is replaced as long as it occurs so often in its block: a rule takes about 8 bytes, an occurrence 2.
 LEAST = 4
-#: A round takes the pairs that occur at least one STEP-th as often as the most frequent one.
+#: A level takes the pairs that occur at least one STEP-th as often as those of the level before.
 STEP = 8
 BUCKETS = 20
-NO_PAIR = np.uint64(2**64 - 1)
-REMEMBERED = 1_000_000
+#: Parts of texts whose ids a worker remembers in a generation; the one before it is kept as well.
+GENERATION = 200_000
 
-#: The tokenizer's pattern over letters below U+0250, for which its normalizer is str.lower.
-LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+#: The tokenizer's pattern over letters below U+0180, for which its normalizer is str.lower.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 NUMBERS = "0-9²³¹¼-¾"
 WORDS = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+"
-#: A text with any other character goes through the library as a whole.
-OTHER = "[^\t\n\r -~¡-įı-ɏ]"
+#: A text with any other character goes through the library as a whole. Those that split() takes for white
+#: space are looked for in the text, others in its parts.
+OTHER = "[^!-~¡-ſ]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \t\n\r")
+#: Characters that become others in lower case which would pass.
+RAISED = "\u0130\u1e9e\u212a\u212b"
+
+
+class Foreign(Exception):
+    """A text that goes through the library as a whole."""
 
 
 def byte_letters() -> list[str]:
@@ -82,25 +92,35 @@ class WordIds(dict):
         self.letters = byte_letters().__getitem__
         #: Texts that quote an added token, in any case, go through the library as a whole as well.
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
-        words = self.words(part)
-        if len(words) != 1 or words[0] != part:
-            data = b"".join(map(self.__getitem__, words))
-        else:
-            data = array("I", [t.id for t in self.model.tokenize(part if part.isascii() else "".join(map(self.letters, part.encode())))]).tobytes()
+        data = self.old.get(part)
+        if data is None:
+            if self.other(part):
+                raise Foreign
+            words = self.words(part)
+            if len(words) != 1 or words[0] != part:
+                data = b"".join(map(self.__getitem__, words))
+            else:
+                data = array("I", [t.id for t in self.model.tokenize(part if part.isascii() else "".join(map(self.letters, part.encode())))]).tobytes()
         if len(part) <= 64:
-            if len(self) >= REMEMBERED:
+            if len(self) >= GENERATION:
+                self.old = dict(self)
                 self.clear()
             self[part] = data
         return data
 
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of a text, then END."""
-        lower = (text or "").lower()
-        if text and (self.other(text) or any(t in lower for t in self.added)):
+        text = text or ""
+        lower = text.lower()
+        try:
+            if any(t in lower for t in self.added) or any(c in lower for c in SPACES) or not text.isascii() and any(c in text for c in RAISED):
+                raise Foreign
+            return np.frombuffer(b"".join(map(self.__getitem__, lower.split())) + struct.pack("<I", END), "<u4")
+        except Foreign:
             return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END], np.uint32)
-        return np.frombuffer(b"".join(map(self.__getitem__, lower.split())) + struct.pack("<I", END), "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -108,49 +128,62 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def overlapping(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places are every second pair in a run of one symbol, and so overlap the pair before."""
+    alike = np.flatnonzero(seq[at] == seq[at + 1])
+    out = np.zeros(len(at), bool)
+    if len(alike):
+        order = np.arange(len(alike))
+        first = np.diff(at[alike], prepend=-2) != 1
+        out[alike[(order - np.maximum.accumulate(np.where(first, order, 0))) % 2 == 1]] = True
+    return out
+
+
 def grammar(ids: np.ndarray, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray]:
-    """(base, rules as pairs, sequence): symbols from base on stand for their rule's pair."""
-    base = int(ids.max(initial=0)) + 1
+    """(base, rules as pairs, sequence): symbols from base on stand for their rule's pair.
+
+    Levels of frequency go down by STEP to least. Pairs of a level are replaced round by round, also those that
+    come up on the way, until none is as frequent. Counts of pairs only fall, but for pairs with a new symbol; so a
+    round looks at the places that were as frequent before and at the neighbours of new symbols alone.
+    """
+    base, n_rules = int(ids.max(initial=0)) + 1, 0
     seq, rules = ids.astype(np.uint32), []
-    while len(seq) > 1:
-        keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        # in a run of one id every second pair overlaps the one before
-        alike = np.flatnonzero(seq[:-1] == seq[1:])
-        at = np.arange(len(alike))
-        first = np.diff(alike, prepend=-2) != 1
-        keys[alike[(at - np.maximum.accumulate(np.where(first, at, 0))) % 2 == 1]] = NO_PAIR
-        hashed = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int64)
-        likely = np.flatnonzero((np.bincount(hashed, minlength=1 << BUCKETS) >= least)[hashed] & (keys != NO_PAIR))
-        pairs, n = np.unique(keys[likely], return_counts=True)
-        most = int(n.max(initial=0))
-        if most < least:
-            break
-        enough = n >= max(least, most // STEP)
-        pairs, n = pairs[enough], n[enough]
-        # a pair is found by its bucket; of pairs in one bucket the most frequent one, the others in a later round
-        order = np.argsort(n, kind="stable")
-        slots = np.full(1 << BUCKETS, -1)
-        slots[((pairs[order] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS)).astype(np.int64)] = order
-        symbol = slots[hashed[likely]]
-        hit = (symbol >= 0) & (pairs[symbol] == keys[likely])
-        places, symbol = likely[hit], symbol[hit]
-        # of places that overlap the more frequent pair's is free, so all of the most frequent pair's are
-        mine, touch = n[symbol] << 32 | symbol, np.diff(places) == 1
-        free = np.ones(len(places), bool)
-        free[1:] &= ~touch | (mine[1:] > mine[:-1])
-        free[:-1] &= ~touch | (mine[:-1] > mine[1:])
-        places, symbol = places[free], symbol[free]
-        worth = np.bincount(symbol, minlength=len(pairs)) >= least
-        places, symbol = places[worth[symbol]], symbol[worth[symbol]]
-        used = np.flatnonzero(np.bincount(symbol, minlength=len(pairs)))
-        names = np.zeros(len(pairs), np.uint32)
-        names[used] = base + len(rules) + np.arange(len(used))
-        rules += [(p >> 32, p & 0xFFFFFFFF) for p in pairs[used].tolist()]
-        seq[places] = names[symbol]
-        stay = np.ones(len(seq), bool)
-        stay[places + 1] = False
-        seq = seq[stay]
-    return base, np.array(rules, np.uint32).reshape(-1, 2), seq
+    level = None
+    while len(seq) > 1 and level != least:
+        bucket = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKETS)
+        full = np.bincount(bucket, minlength=1 << BUCKETS)
+        level = max(least, (int(full.max()) if level is None else level) // STEP)
+        at = np.flatnonzero((full >= level)[bucket])
+        while len(at):
+            second = overlapping(seq, at)
+            at, later = at[~second], at[second]
+            pairs, symbol, n = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_inverse=True, return_counts=True)
+            often = (n >= level)[symbol]
+            at, symbol = at[often], symbol[often]
+            # of places that overlap the more frequent pair's is free, so all of the most frequent pair's are
+            mine, touch = n[symbol] << 32 | symbol, np.diff(at) == 1
+            free = np.ones(len(at), bool)
+            free[1:] &= ~touch | (mine[1:] > mine[:-1])
+            free[:-1] &= ~touch | (mine[:-1] > mine[1:])
+            places, taken = at[free], symbol[free]
+            worth = np.bincount(taken, minlength=len(pairs)) >= least
+            keep = worth[taken]
+            places, taken = places[keep], taken[keep]
+            if not len(places):
+                break
+            names = np.zeros(len(pairs), np.uint32)
+            used = np.flatnonzero(worth)
+            names[used] = base + n_rules + np.arange(len(used))
+            rules.append(np.stack((pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32))
+            n_rules += len(used)
+            seq[places] = names[taken]
+            again, stay = np.zeros(len(seq), bool), np.ones(len(seq), bool)
+            again[at] = again[later] = again[places] = again[places[places > 0] - 1] = True
+            stay[places + 1] = False
+            seq, again = seq[stay], again[stay]
+            again[-1] = False
+            at = np.flatnonzero(again)
+    return base, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq
 
 
 def rule_lengths(base: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +323,10 @@ def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", t
         if held:
             yield row()
 
-    dealt = docs.select(F.col(key).cast("long").alias("__k"), F.col(text).alias("__t")).repartitionByRange(n, F.col("__k").asc_nulls_first()).sortWithinPartitions(F.col("__k").asc_nulls_first(), F.col("__t").asc_nulls_first())
+    # rows of one key are dealt and ordered by a hash of their text; rows that are equal, by chance
+    rows = docs.select(F.col(key).cast("long").alias("__k"), F.col(text).alias("__t"), F.xxhash64(text).alias("__h"), F.rand(1).alias("__r"))
+    order = [F.col("__k").asc_nulls_first(), F.col("__h"), F.col("__r")]
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("__k", "__t")
     arrow_map(dealt, each, "shard int, block int, start bigint, n_ids bigint, data binary").write.parquet(path)
 
 

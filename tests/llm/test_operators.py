@@ -375,6 +375,35 @@ def test_added_tokens_are_those_of_the_library():
     assert words.ids("hello <|endoftext|> world").tolist() == [3306, 49407, 1002, 2]
 
 
+def test_every_character_is_encoded_as_by_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    words = repair_codec.word_ids(repair_codec.default_tokenizer())
+    library = Tokenizer.from_file(repair_codec.default_tokenizer())
+    rng = random.Random(8)
+    found = [f"a{chr(c)}b" for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    found += ["".join(chr(rng.randrange(9, 0x250)) for _ in range(rng.choice([1, 3, 9]))) for _ in range(4000)]
+    for t in found:
+        assert words.ids(t)[:-1].tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_rows_without_keys_are_dealt_over_tasks(spark, tmp_path):
+    hot = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words again and again").alias("text"))
+    rows = hot.union(spark.range(500).select("id", F.concat(F.lit("text "), F.col("id").cast("string")))).repartition(6)
+    path = str(tmp_path / "ids")
+    repair_codec.write(rows, path, shards=8)
+    sizes = [r.n for r in spark.read.parquet(path).groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / 8
+    got = repair_codec.read(spark, path).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == list(range(500)) and len(got) == 3500
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at and (r.doc_id is None) == (at < 3000 * r.n_tokens and r.n_tokens == 7)
+        at += r.n_tokens
+
+
 # 8
 
 
