@@ -9,21 +9,26 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+SETTING = "spark.checkpoint.dir"
 _written: list[tuple[SparkSession, str]] = []
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local folder of its own only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="rowloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder that spark.checkpoint.dir names. Where it is unset, a local folder, but only if all runs in one process."""
+    found = spark.conf.get(SETTING, None)
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"set {SETTING} to a folder that driver and executors share")
+    return _local.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="rowloom-"))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -40,6 +45,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """written() for tables that nothing reads after the block; they are deleted at its end."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = new_path(spark, name)
+        paths.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            discard(spark, path)
+            _written.remove((spark, path))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table that no later plan reads."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

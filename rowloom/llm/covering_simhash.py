@@ -15,13 +15,15 @@ one flip of x and two of y), which is a grouped minimum and grows in proportion
 radii one flip and radius - 1 flips are taken. Components come from alternating large and small stars,
 each round written to the shared folder.
 
-Near duplicates in the sense of word shingles (similar()) are found by an exact prefix join, without
-fingerprints: in an order that is the same for all, rare shingles first, similar sets share one of their
-first elements. Texts that share one are compared through hubs and linked; in each component documents are
-taken in ascending id and one is kept unless a kept one is similar. A task streams over components in
-that order and holds the sets of those kept, indexed by the few smallest hashes that similar sets must
-share. A component of more than `bound` hashes is first made smaller by rounds that compare all of it
-with its first document.
+Near duplicates in the sense of word shingles (similar()) are the components of texts whose sets of shingles
+have a Jaccard coefficient of at least `similarity`. Fingerprints alone cannot give them: at 0.8 some ten of 64
+bits differ. So the covering masks find the close ones, each confirmed on the sets, and an exact prefix join
+finds the rest. In an order that is the same for all, similar sets share one of their first elements. The order
+goes by the hash, but shingles that COMMON documents have come late; they are counted over all documents among
+those of the lowest LOW of the hashes, where the first elements are. Texts of different components that share a
+first element are compared through hubs: each round the next few of those that share it are compared with all
+others, linked, and leave; what has become one component leaves as well. So a crowd of copies costs one
+comparison each, and no group is gathered anywhere.
 
 Defined results: null and empty texts have the fingerprint zero and are linked like any other; a null
 id takes part, but never names a component (component_id is null only if no member has an id); repeated
@@ -31,7 +33,7 @@ rows get a row each; an empty table gives no rows; other columns of the input do
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -40,17 +42,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ._store import arrow_map, with_fields, written
+from ._store import arrow_map, scratch, with_fields, written
 
 BITS = 64
 CHUNK = 1 << 17
 LIMIT = 4096
-#: Shingle hashes of a component that one task streams over.
-BOUND = 1 << 24
+#: Rows of a join's side up to which it is broadcast, after they were counted.
 BROADCAST_ROWS = 100_000
-#: Texts from which the order of shingles is taken, how many shingles it holds, and hubs before all pairs.
-SAMPLE, USUAL, ROUNDS = 8_000, 200_000, 4
+#: The share of the hashes whose shingles are counted, and from how many documents on they are common.
+LOW, COMMON = 0.3, 32
+#: How many of those that share a shingle are compared with the others in the first round, and times how many in the next.
+HUBS, MORE = 1, 4
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -107,51 +111,34 @@ def shingle_set(words: list[bytes], width: int) -> np.ndarray:
     return np.unique(np.concatenate([c.astype(np.uint64) for c in shingle_hashes(words, width)] or [np.zeros(0, np.uint64)])).view(np.int64)
 
 
-def prefix(own: np.ndarray, usual: np.ndarray, places: np.ndarray, similarity: float) -> np.ndarray:
-    """The first elements of a set, what is left when `similarity` of it is taken from its end.
+def prefix_length(n: int, similarity: float) -> int:
+    """How many of a set's first elements are enough: of two similar sets one is among both of these."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
-    Elements that are not in usual (sorted) come first, then those that are by their places; whatever the
-    order, if it is the same for all, sets that are similar have one of their first elements in common.
+
+def shingled(docs: DataFrame, key: str, text: str, width: int, similarity: float) -> DataFrame:
+    """(key, one, two, n, fp, low, high) of each text's set of shingles.
+
+    Two hashes of the set, its size and fingerprint, its lowest hashes, and as many others as the first elements need.
     """
-    at = np.minimum(np.searchsorted(usual, own), max(0, len(usual) - 1))
-    rank = np.where(usual[at] == own, places[at], -1) if len(usual) else np.full(len(own), -1)
-    return own[np.lexsort((own, rank))][: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1] if len(own) else own
-
-
-def usual_shingles(docs: DataFrame, key: str, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample repeats, sorted, and their places from rare to frequent. They only set an order."""
-    rows = docs.where(F.col(text).isNotNull()).select(key, text)
-    part = max(1, rows.count() // SAMPLE)
-    some = rows.where(F.pmod(F.xxhash64(key), F.lit(part)) == 0).dropDuplicates([text])
-    each = shingle_sets(some, [key], text, width).select(F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
-    found = each.orderBy(F.desc("n"), "x").limit(USUAL).collect()  # at most USUAL rows
-    found.sort(key=lambda r: r["x"])
-    usual, n = np.array([r["x"] for r in found], np.int64), np.array([r["n"] for r in found], np.int64)
-    places = np.empty(len(n), np.int64)
-    places[np.lexsort((usual, n))] = np.arange(len(n))
-    return usual, places
-
-
-def prefixes(docs: DataFrame, key: str, text: str, width: int, similarity: float) -> DataFrame:
-    """(key, one, whole, first): two hashes of the words in their order, and the prefix of the shingle set."""
-    sc = docs.sparkSession.sparkContext
-    told = sc.broadcast(usual_shingles(docs, key, text, width))
+    bar = np.uint64(int(LOW * 2**64))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        usual, places = told.value
         for b in batches:
-            hashes, first = [], []
+            heads, low, high = [], [], []
             for t in b.column(1):
-                words = words_of(t.as_py())
-                line, own = b" ".join(words), shingle_set(words, width)
-                hashes.append((xxhash.xxh64_intdigest(line, 42), xxhash.xxh64_intdigest(line, 7)))
-                first.append(prefix(own, usual, places, similarity))
-            one, whole = np.array(hashes, np.uint64).reshape(-1, 2).T.copy()
-            columns = [b.column(0), pa.array(one.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, [key, "one", "whole", "first"])
+                own = shingle_set(words_of(t.as_py()), width).view(np.uint64)
+                cut, data = int(np.searchsorted(own, bar)), own.tobytes()
+                parts = (own[i : i + CHUNK].astype(">u8") for i in range(0, len(own), CHUNK))
+                heads.append((xxhash.xxh64_intdigest(data, 42), xxhash.xxh64_intdigest(data, 7), len(own), majority(parts)))
+                low.append(own[:cut].view(np.int64))
+                high.append(own[cut : max(cut, prefix_length(len(own), similarity))].view(np.int64))
+            one, two, n, fp = (pa.array(x.view(np.int64)) for x in np.array(heads, np.uint64).reshape(-1, 4).T.copy())
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), one, two, n, fp, pa.array(low, longs), pa.array(high, longs)], [key, "one", "two", "n", "fp", "low", "high"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return arrow_map(docs.select(key, text), each, f"`{key}` {kind}, one bigint, whole bigint, first array<bigint>")
+    return arrow_map(docs.select(key, text), each, f"`{key}` {kind}, one bigint, two bigint, n bigint, fp bigint, low array<bigint>, high array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, keys: list[str], text: str, width: int) -> DataFrame:
@@ -195,12 +182,12 @@ def forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(prints: DataFrame, radius: int = 3, limit: int = LIMIT) -> DataFrame:
+def links(prints: DataFrame, radius: int = 3, limit: int = LIMIT, keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """(a, b): edges whose components are those of all links between the different fingerprints in prints(fp)."""
     masks = covering_masks(radius)
     keyed = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for t, m in enumerate(masks)])).alias("x")).select("fp", "x.t", "x.k")
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(keyed.join(sizes, ["t", "k"]), "buckets")
+    shared = keep(keyed.join(sizes, ["t", "k"]), "buckets")
     gathered = shared.where(F.col("n") <= limit).groupBy("t", "k").agg(F.collect_list("fp").alias("fps")).select("fps")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,9 +221,9 @@ def met(hot: DataFrame, masks: list[int], radius: int) -> DataFrame:
     return reach.join(hubs, ["t", "v"]).where(F.col("a") != F.col("fp")).select(F.least("a", "fp").alias("a"), F.greatest("a", "fp").alias("b"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node of its component, for each node of an edge (a, b)."""
-    now = written(edges.select("a", "b"), "edges")
+def components(edges: DataFrame, rounds: int = 60, keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """(node, root): the smallest node of its component, for each node of an edge (a, b) but the smallest ones."""
+    now = keep(edges.select("a", "b"), "edges")
     before = None
     for _ in range(rounds):
         both = now.union(now.select(F.col("b"), F.col("a"))).toDF("u", "v")
@@ -244,8 +231,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # every edge now points to a smaller node
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.col("v").alias("u"), "m").union(lowest.select("u", "m")).where(F.col("u") != F.col("m")).distinct()
-        now = written(small.select(F.col("m").alias("a"), F.col("u").alias("b")), "edges")
+        stars = large.join(lowest, "u").select(F.col("v").alias("u"), "m").union(lowest.select("u", "m")).where(F.col("u") != F.col("m")).distinct()
+        now = keep(stars.select(F.col("m").alias("a"), F.col("u").alias("b")), "edges")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
@@ -257,42 +244,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     """(key, fp, component_id): component_id is the smallest key in the document's component."""
     base = written(fingerprints(docs, key, text, width), "prints")
     nodes = written(base.groupBy("fp").agg(F.min(key).alias("__least")), "nodes")
-    roots = components(links(nodes.select("fp"), radius, limit))
+    with scratch(docs.sparkSession) as keep:
+        roots = written(components(links(nodes.select("fp"), radius, limit, keep), keep=keep), "roots")
     joined = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "__least", F.coalesce("root", "fp").alias("__root"))
     least = joined.where(F.col("__root").isNotNull()).groupBy("__root").agg(F.min("__least").alias("component_id"))
     named = joined.join(least, "__root").select("fp", "component_id")
     return base.join(named, "fp").select(key, "fp", "component_id")
 
 
-def covered(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Of rows (component, id, set), sorted, the ids that a kept row of their component is similar to.
-
-    Similar sets share one of their first elements: those that are left when `similarity` of a set is taken
-    from its end. Only these are indexed, and what they find is compared as a whole.
-    """
-    now: object = None
-    kept: list[np.ndarray] = []
-    at: dict[int, list[int]] = {}
-    for b in batches:
-        sets, gone = b.column(2), []
-        flat, ends = sets.flatten().to_numpy(), np.cumsum(sets.value_lengths().to_numpy())
-        for comp, id_, end, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), ends.tolist(), sets.value_lengths().to_pylist(), strict=True):
-            if comp != now:
-                now, kept, at = comp, [], {}
-            own = flat[end - size : end]
-            head = own[: size - math.ceil(similarity * size - 1e-9) + 1].tolist()
-            for i in sorted({i for h in head for i in at.get(h, ())}):
-                both = len(np.intersect1d(own, kept[i], assume_unique=True))
-                if both >= similarity * (size + len(kept[i]) - both):
-                    gone.append(id_)
-                    break
-            else:
-                for h in head:
-                    at.setdefault(h, []).append(len(kept))
-                kept.append(own.copy())
-        yield pa.RecordBatch.from_arrays([pa.array(gone, b.schema.field(1).type)], [b.schema.names[1]])
-
-
 def _without(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """docs without the ids of which ids(key, stays) says so; of repeated rows of one id one stays.
 
@@ -314,101 +273,114 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **how
     return _without(docs, key, written(ids, "ids"))
 
 
-def jaccard(a: str, b: str) -> Column:
-    """The coefficient of two columns of sets that are not both empty."""
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
+def small(df: DataFrame) -> DataFrame:
+    """A side of a join, broadcast if it was counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+class Comparison:
+    """Jaccard coefficients of documents by id; sets of shingles are made once for each id that is compared."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str, width: int, similarity: float, keep: Callable[[DataFrame, str], DataFrame]):
+        self.docs, self.key, self.text, self.width, self.similarity, self.keep = docs, key, text, width, similarity, keep
+        self.sets: DataFrame | None = None
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that are similar."""
+        pairs = self.keep(pairs, "pairs")
+        new = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        if self.sets is not None:
+            new = new.join(self.sets.select("id"), "id", "left_anti")
+        new = self.keep(new, "new")
+        texts = self.docs.select(F.col(self.key).alias("id"), F.col(self.text).alias("__text")).join(small(new), "id", "left_semi")
+        made = self.keep(shingle_sets(texts, ["id"], "__text", self.width), "sets")
+        self.sets = made if self.sets is None else self.sets.union(made)
+        a, b = (self.sets.select(F.col("id").alias(n), F.col("set").alias(f"set_{n}")) for n in ("a", "b"))
+        both = F.size(F.array_intersect("set_a", "set_b"))
+        alike = both >= self.similarity * (F.size("set_a") + F.size("set_b") - both) - 1e-9
+        return self.keep(pairs.join(b, "b").join(a, "a").where(alike).select("a", "b").distinct(), "links")
 
 
-def alike(rows: DataFrame, sets_of, similarity: float) -> DataFrame:
-    """(a, b): edges so that of rows (x, id), any two ids of one x whose sets are similar are connected.
+def first_elements(sets: DataFrame, similarity: float, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(id, n, first) of sets (id, n, low, high): the first elements in the order that is the same for all."""
+    lows = sets.select("id", F.explode("low").alias("x"))
+    common = keep(lows.groupBy("x").agg(F.count("*").alias("docs")).where(F.col("docs") >= COMMON).select("x"), "common")
+    own = lows.join(small(common), "x", "left_semi").groupBy("id").agg(F.collect_set("x").alias("late"))
+    found = sets.join(own, "id", "left").withColumn("late", F.coalesce("late", F.array().cast("array<bigint>")))
+    # unsigned order of the hashes, as in low
+    late = F.array_intersect("low", "late")
+    order = F.when(F.size("late") == 0, F.concat("low", "high")).otherwise(F.concat(F.array_except("low", "late"), late, "high"))
+    length = F.when(F.col("n") > 0, F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).otherwise(0).cast("int")
+    return found.select("id", "n", F.slice(order, F.lit(1), length).alias("first"))
 
-    The smallest id of an x is its hub, and all its ids are compared with it. An id that is similar to the
-    hub need not meet others of the x: 1 - Jaccard is a metric, so those are within twice the distance of
-    the hub, and what lies within it is linked. The rest meet the next hub. After ROUNDS hubs all pairs of
-    what is left are compared; as prefixes begin with rare shingles, few texts are. sets_of(ids) gives the
-    sets (id, size, set) of the ids that share an x.
+
+def crossing(rows: DataFrame) -> DataFrame:
+    """Rows (x, c, ...) of those x that rows of different components c have."""
+    shared = rows.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("x")
+    return rows.join(shared, "x", "left_semi")
+
+
+def candidates(rows: DataFrame, hubs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of a row and a hub that share an x, are of different components, and may be similar.
+
+    Sizes must be near enough, and what stands after the shared element in both must be enough; that is tested as if
+    it were the first one that they share, since another row pair has that one.
     """
-    wide = 2 * similarity - 1
-    sets = edges = None
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        a, b = (sets.select(F.col("id").alias(n), F.col("size").alias(f"size_{n}"), F.col("set").alias(f"set_{n}")) for n in ("a", "b"))
-        sized = pairs.distinct().join(a.drop("set_a"), "a").join(b.drop("set_b"), "b")
-        near = sized.where(F.least("size_a", "size_b") >= wide * F.greatest("size_a", "size_b") - 1e-9).select("a", "b")
-        both = near.join(b, "b").join(a, "a")
-        return written(both.select("a", "b", jaccard("set_a", "set_b").alias("j")).where(F.col("j") >= wide - 1e-9), "pairs")
-
-    for _ in range(ROUNDS):
-        hubs = rows.groupBy("x").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("x", "a")
-        met = written(rows.join(hubs, "x").where(F.col("id") != F.col("a")), "met")
-        if sets is None:
-            sets = sets_of(met.select("id").union(met.select("a")).distinct())
-        found = compared(met.select("a", F.col("id").alias("b")))
-        edges = found.select("a", "b") if edges is None else edges.union(found.select("a", "b"))
-        close = found.where(F.col("j") >= similarity).select("a", F.col("b").alias("id"))
-        rows = written(met.join(close, ["a", "id"], "left_anti").select("x", "id"), "rest")
-        if rows.isEmpty():
-            return edges
-    rest = rows.alias("p").join(rows.alias("q"), (F.col("p.x") == F.col("q.x")) & (F.col("p.id") < F.col("q.id")))
-    return edges.union(compared(rest.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))).select("a", "b"))
-
-
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, bound: int = BOUND) -> DataFrame:
-    """(key, stays, n): which documents stay if near duplicates go; n is how many rows have the key.
-
-    Two texts are near duplicates if the Jaccard coefficient of their sets of width-word shingles is at
-    least `similarity`. In ascending key, a text goes if it is similar to one that stays; of equal texts
-    the smallest key stands for all.
+    r, h = rows.alias("r"), hubs.alias("h")
+    sizes = F.least("r.n", "h.n") >= F.lit(similarity) * F.greatest("r.n", "h.n") - 1e-9
+    rest = F.least(F.col("r.n") - F.col("r.pos"), F.col("h.n") - F.col("h.pos"))
+    enough = rest >= F.lit(similarity / (1 + similarity)) * (F.col("r.n") + F.col("h.n")) - 1e-9
+    met = r.join(h, (F.col("r.x") == F.col("h.x")) & (F.col("r.c") != F.col("h.c")) & sizes & enough)
+    return met.select(F.least("r.id", "h.id").alias("a"), F.greatest("r.id", "h.id").alias("b")).distinct()
+
+
+def labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """rows with c, the component of their id."""
+    return rows.join(small(comps).withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3, limit: int = LIMIT) -> DataFrame:
+    """(key, stays, n): which documents stay if one of each group of near duplicates does; n is how many rows have the key.
+
+    Groups are the components of documents whose sets of width-word shingles have a Jaccard coefficient of at least
+    `similarity`; the smallest key stays. A key that different texts share stands for all of them.
     """
     named = docs.where(F.col(key).isNotNull())
-    base = written(prefixes(named, key, text, width, similarity), "prints")
-    nodes = written(base.groupBy("one", "whole").agg(F.min(key).alias("__least")), "nodes")
-    follow = base.select(key).join(nodes.select(F.col("__least").alias(key)), key, "left_anti").distinct()
-    if follow.count() <= BROADCAST_ROWS:
-        follow = F.broadcast(follow)
-    rows = base.join(follow, key, "left_anti").select(F.explode("first").alias("x"), F.col(key).alias("id"))
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        contested = written(ids.select(F.col("id").alias("__least")), "contested")
-        small = contested.count() <= BROADCAST_ROWS
-        texts = docs.select(key, text).join(F.broadcast(contested) if small else contested, F.col(key) == F.col("__least")).dropDuplicates([key])
-        found.append(written(shingle_sets(texts, ["__least"], text, width), "sets"))
-        return found[0].select(F.col("__least").alias("id"), F.size("set").alias("size"), "set")
-
-    found: list[DataFrame] = []
-    roots = components(alike(rows, sets_of, similarity))
-    sets = found[0]
-    placed = roots.select(F.col("node").alias("__least"), F.col("root").alias("__comp"))
-    placed = placed.union(roots.select("root", "root").distinct())
-    left = written(sets.join(placed, "__least").select("__comp", "__least", "set"), "sets")
-    gone = None
-    while True:
-        large = left.groupBy("__comp").agg(F.sum(F.size("set")).alias("__h"), F.count("*").alias("__m")).where((F.col("__h") > bound) & (F.col("__m") > 1)).select("__comp")
-        if large.isEmpty():
-            break
-        first = left.join(large, "__comp", "left_semi").groupBy("__comp").agg(F.min_by(F.struct("__least", "set"), "__least").alias("__first"))
-        both = F.size(F.array_intersect("set", "__first.set"))
-        total = F.size("set") + F.size("__first.set") - both
-        like = (F.col("__least") != F.col("__first.__least")) & (F.when(total == 0, F.lit(1.0)).otherwise(both / total) >= similarity)
-        shrunk = left.join(first, "__comp", "left").where(F.col("__first").isNull() | (F.col("__least") != F.col("__first.__least")))
-        shrunk = written(shrunk.select("__comp", "__least", "set", F.coalesce(like, F.lit(False)).alias("__like")), "round")
-        goes = shrunk.where("__like").select("__least")
-        gone = goes if gone is None else gone.union(goes)
-        left = shrunk.where("not __like").drop("__like")
-    ordered = left.repartition("__comp").sortWithinPartitions("__comp", "__least")
-    kind = left.schema["__least"].dataType
-    goes = arrow_map(ordered, lambda batches: covered(batches, similarity), T.StructType([T.StructField("__least", kind)]))
-    gone = written(goes if gone is None else gone.union(goes), "gone")
-    kept = nodes.join(gone, "__least", "left_anti")
-    stays = kept.select(F.col("__least").alias("__stays"))
-    counted = base.groupBy(key).agg(F.count("*").alias("n"))
-    return counted.join(stays, F.col(key) == F.col("__stays"), "left").select(key, F.col("__stays").isNotNull().alias("stays"), "n")
+    with scratch(docs.sparkSession) as keep:
+        base = keep(shingled(named, key, text, width, similarity), "shingles")
+        nodes = keep(base.groupBy("one", "two").agg(F.min(key).alias("id"), F.min("fp").alias("fp")), "nodes")
+        follow = base.select(key).join(nodes.select(F.col("id").alias(key)), key, "left_anti").distinct()
+        sets = base.join(small(follow), key, "left_anti").select(F.col(key).alias("id"), "n", "low", "high")
+        compare = Comparison(named, key, text, width, similarity, keep)
+
+        # what the covering masks find
+        least = keep(nodes.groupBy("fp").agg(F.min("id").alias("h")), "least")
+        near = links(least.select("fp"), radius, limit, keep)
+        ends = [least.select(F.col("fp").alias(n), F.col("h").alias(f"h{n}")) for n in ("a", "b")]
+        met = near.join(ends[0], "a").join(ends[1], "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+        same = nodes.join(least, "fp").where(F.col("id") != F.col("h")).select(F.col("h").alias("a"), F.col("id").alias("b"))
+        edges = compare.links(met.union(same).distinct())
+        comps = components(edges, keep=keep)
+
+        # and what remains
+        first = keep(first_elements(sets, similarity, keep), "first")
+        rows = labelled(first, comps).select("id", "n", "c", F.posexplode("first").alias("pos", "x"))
+        rows, hubs = keep(crossing(rows), "rows"), HUBS
+        while not rows.isEmpty():
+            chosen = F.row_number().over(Window.partitionBy("x").orderBy("id"))
+            some = keep(rows.withColumn("k", chosen).where(F.col("k") <= hubs).drop("k"), "hubs")
+            edges = edges.union(compare.links(candidates(rows, some, similarity)))
+            comps = components(edges, keep=keep)
+            rest = rows.join(some.select("x", "id"), ["x", "id"], "left_anti").select("id", "n", "pos", "x")
+            rows, hubs = keep(crossing(labelled(rest, comps)), "rows"), hubs * MORE
+        stays = nodes.select("id").distinct().join(comps, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("__stays"))
+        counted = base.groupBy(key).agg(F.count("*").alias("n"))
+        return written(counted.join(stays, F.col(key) == F.col("__stays"), "left").select(key, F.col("__stays").isNotNull().alias("stays"), "n"), "ids")
 
 
 def without_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents that stay if near duplicates go; the columns of docs."""
-    return _without(docs, key, written(similar(docs, key, text, **how), "ids"))
+    return _without(docs, key, similar(docs, key, text, **how))
 
 
 def shown(fp: Column) -> Column:

@@ -494,21 +494,27 @@ def shingles(t, width=5):
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def dissimilar(found, radius=5):
-    """Ids in ascending order, without those that a kept one of their component is similar to."""
+def survivors(found):
+    """The smallest ids of the components of texts that are similar to 0.8 or more, by comparing all pairs."""
     ids = sorted(found)
     sets = {i: shingles(found[i]) for i in ids}
-    prints = [covering_simhash.simhash_of_set(covering_simhash.words_of(found[i])) for i in ids]
-    group, kept = components(prints, ids, radius), []
-    for i in ids:
-        rivals = [k for k in kept if group[k] == group[i]]
-        if not any(len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]) for k in rivals):
-            kept.append(i)
-    return kept
+    root = {i: i for i in ids}
 
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
 
-@pytest.mark.parametrize("bound", [1, 1 << 26])
-def test_similar_texts_go(spark, bound):
+    for n, i in enumerate(ids):
+        for k in ids[:n]:
+            if 5 * len(sets[i] & sets[k]) >= 4 * len(sets[i] | sets[k]):
+                a, b = sorted((find(i), find(k)))
+                root[b] = a
+    return [i for i in ids if find(i) == i]
+
+
+@pytest.mark.parametrize("limit", [1, 4096])
+def test_similar_texts_go(spark, limit):
     import random
 
     rng = random.Random(7)
@@ -522,44 +528,49 @@ def test_similar_texts_go(spark, bound):
             found[n], n = " ".join(copy), n + 1
     found |= {n: "", n + 1: "  ", n + 2: None}
     docs = spark.createDataFrame([*found.items(), (0, found[0]), (None, "x")], "doc_id long, text string")
-    got = {r.doc_id: r.stays for r in covering_simhash.similar(docs, bound=bound).collect()}
-    assert sorted(i for i, stays in got.items() if stays) == dissimilar({i: t or "" for i, t in found.items()})
+    got = {r.doc_id: r.stays for r in covering_simhash.similar(docs, limit=limit).collect()}
+    assert sorted(i for i, stays in got.items() if stays) == survivors({i: t or "" for i, t in found.items()})
     assert len([1 for r in covering_simhash.without_similar(docs).collect() if r.doc_id == 0]) == 1
 
 
-def test_every_similar_pair_meets(spark):
+@pytest.mark.parametrize("common", [4, 32])
+def test_every_similar_pair_meets(spark, common, monkeypatch):
     """Copies that are cut, extended or edited in places, against plain all-pairs Jaccard."""
     import random
 
+    monkeypatch.setattr(covering_simhash, "COMMON", common)
     rng = random.Random(11)
     found, n = {}, 0
-    common = [f"c{i}" for i in range(30)]
+    passage = [f"c{i}" for i in range(30)]
     for _ in range(40):
-        words = [f"v{rng.randrange(20_000)}" for _ in range(rng.choice([60, 150, 300]))] + common
+        words = [f"v{rng.randrange(20_000)}" for _ in range(rng.choice([60, 150, 300]))] + passage
         copies = [words, words[: len(words) * 83 // 100], words[len(words) // 8 :], words + [f"n{n}x{i}" for i in range(len(words) // 6)]]
         for copy in copies + [[w if rng.random() > 0.02 else f"e{n}y{i}" for i, w in enumerate(words)] for _ in range(3)]:
             found[n], n = " ".join(copy), n + 1
-    sets, kept = {i: shingles(t) for i, t in found.items()}, []
-    for i in sorted(found):
-        if not any(len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]) for k in kept):
-            kept.append(i)
     docs = spark.createDataFrame([*found.items()], "doc_id long, text string").repartition(5)
     got = sorted(r.doc_id for r in covering_simhash.similar(docs).collect() if r.stays)
-    assert got == kept and len(kept) < len(found)
+    want = survivors(found)
+    assert got == want and len(want) < len(found)
 
 
-@pytest.mark.parametrize("rounds", [1, 4])
-def test_pairs_beyond_the_hubs(spark, rounds, monkeypatch):
-    """A chain in which only neighbours are similar, whatever the number of hubs."""
-    monkeypatch.setattr(covering_simhash, "ROUNDS", rounds)
+@pytest.mark.parametrize("hubs", [1, 100])
+def test_pairs_beyond_the_hubs(spark, hubs, monkeypatch):
+    """A chain in which only neighbours are similar is one group; texts that share much but not enough are none."""
+    monkeypatch.setattr(covering_simhash, "HUBS", hubs)
     words = [f"w{i}" for i in range(420)]
-    docs = spark.createDataFrame([(i, " ".join(words[10 * i : 10 * i + 150])) for i in range(25)], "doc_id long, text string")
+    found = {i: " ".join(words[10 * i : 10 * i + 150]) for i in range(25)}
+    half = [f"h{i}" for i in range(100)]
+    found |= {100 + i: " ".join(half + [f"o{i}x{k}" for k in range(40)]) for i in range(12)}
+    found |= {200 + i: found[111 - i] + f" and more {i}" for i in range(3)}
+    docs = spark.createDataFrame([*found.items()], "doc_id long, text string")
     got = sorted(r.doc_id for r in covering_simhash.similar(docs).collect() if r.stays)
-    sets, kept = [shingles(" ".join(words[10 * i : 10 * i + 150])) for i in range(25)], []
-    for i in range(25):
-        if not any(len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]) for k in kept):
-            kept.append(i)
-    assert got == kept
+    assert got == survivors(found) == [0, *range(100, 112)]
+
+
+def test_groups_of_a_table(spark):
+    rows = documents(spark)
+    got = sorted(r.doc_id for r in covering_simhash.without_similar(rows).collect())
+    assert got == survivors(texts(rows))
 
 
 # 9

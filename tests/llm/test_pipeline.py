@@ -8,7 +8,7 @@ from rowloom.llm import line_frequency, poisson_mix, prefix_bpe
 
 import public_tokenizers
 
-from .test_operators import dissimilar
+from .test_operators import survivors
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,7 +25,7 @@ def test_stages(spark):
     assert set(first) == {i for i, kept in rules.items() if kept}
     assert all(r.n_chars == len(r.text) for r in first.values())
 
-    assert sorted(r.doc_id for r in steps[2].collect()) == dissimilar({i: r.text for i, r in first.items()})
+    assert sorted(r.doc_id for r in steps[2].collect()) == survivors({i: r.text for i, r in first.items()})
 
     copies = sorted(r.doc_id for r in poisson_mix.mixed(steps[2]).collect())
     assert sorted(r.doc_id for r in steps[3].collect()) == copies
