@@ -10,7 +10,7 @@ Texts are cut by the vocabulary's pattern and each match is encoded on its own,
 a match that is a token as a whole is that token.
 
 Each Python worker remembers encoded matches in two generations and the borders of tokens in one table, all
-of bounded size: some 60 MB beside the vocabulary. A task streams over its rows, and over the matches of a text.
+of bounded size, some 60 MB beside the vocabulary, and gives them back when a task ends. A task streams over its rows, and over the matches of a text.
 
 Defined results: null text is the empty text, which has no ids; ids of any text decode to its bytes
 exactly, whatever its length; repeated rows get equal results; an empty table gives no rows; columns
@@ -230,6 +230,12 @@ class Encoder(dict):
             else:
                 yield from ([ids] for ids in self.encode_all(run))
 
+    def forget(self) -> None:
+        """Give back what was remembered; the vocabulary stays."""
+        self.clear()
+        self.old = {}
+        self.vocabulary._fits.clear()
+
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(self.pieces(text or "")))
 
@@ -273,6 +279,7 @@ def encoded(docs: DataFrame, text: str = "text", path: str | None = None, patter
         for b in batches:
             ids = pa.array([list(chain.from_iterable(x)) for x in e.each(b.column(len(rest)).to_pylist())], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], ids], [*rest, "ids"])
+        e.forget()
 
     schema = with_fields(docs.select(*rest).schema, ids=T.ArrayType(T.IntegerType()))
     return arrow_map(docs.select(*rest, text), each, schema)
@@ -313,6 +320,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str
                 made.append(ids_sum.hexdigest())
                 back.append(text_sum.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(made, pa.string()), pa.array(back, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        e.forget()
 
     kind = docs.schema[key].dataType.simpleString()
     return arrow_map(docs.select(key, text), each, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
