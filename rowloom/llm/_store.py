@@ -37,14 +37,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet under the shared folder and return a reader of it."""
+#: Shuffle files go when the query that made them has ended, not when the driver collects its garbage.
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(SWEEP, "false")
+    spark.conf.set(SWEEP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SWEEP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df once as Parquet under the shared folder and return a reader of it."""
+    return _write(df, new_path(df.sparkSession, name))
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """written() for tables that nothing reads after the block; they are deleted at its end."""
@@ -53,8 +65,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
     def keep(df: DataFrame, name: str) -> DataFrame:
         path = new_path(spark, name)
         paths.append(path)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return _write(df, path)
 
     try:
         yield keep

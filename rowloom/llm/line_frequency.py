@@ -1,15 +1,16 @@
 """Quality rules by cross-document line frequency (DataFrame functions only).
 
 Lines are normalised (lower case, white space folded) and hashed. For each host the distinct documents
-that hold a line are counted; a line over the limits is boilerplate, is removed, and a document that
-keeps too few of its words is rejected.
+that hold a line are counted; exact copies of a text are one document. A line over the limits is boilerplate,
+is removed, and a document that keeps too few of its words is rejected.
 
-Near copies of one document are not independent witnesses. A document therefore testifies for a line
-under the hash of its longest *other* line, and witnesses with equal testimony count once.
+A step of its own sees to near copies, which would take each other's text for boilerplate: documents in which
+lines over the limit make up more than 0.8 of the words, all with the same set of such lines, are near copies
+of one another and count as one document. Documents with more text of their own always count.
 
 Scale: texts are read once and reduced to one narrow feature row a document, written to the shared
 folder. Line counts combine on the map side, so a line that a third of all documents hold is one row
-from each task. Only lines that pass the plain count reach the distinct count.
+from each task. Only lines that pass the plain count reach the second count.
 
 Defined results: null text counts as the empty text (no words, base rule fails); a null host is a host
 of its own; repeated rows get the same verdict each; an empty table gives no rows; columns of the input
@@ -54,6 +55,10 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
     return let(let(hashes, windows), lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(F.lit(0).cast("long")))
 
 
+def text_key(text: str, host: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(host))
+
+
 def features(docs: DataFrame, keys: list[str], text: str = "text", host: str = "source") -> DataFrame:
     """keys, host, text_key, the statistics and, for each line with a word, its hash and words."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -61,7 +66,7 @@ def features(docs: DataFrame, keys: list[str], text: str = "text", host: str = "
     split = docs.select(
         *keys,
         F.col(host).alias("__host"),
-        F.xxhash64(F.col(text), F.col(host)).alias("__key"),
+        text_key(text, host).alias("__key"),
         body.alias("__text"),
         words_of(body).alias("__words"),
         lines.alias("__lines"),
@@ -84,43 +89,39 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def exploded(marks: DataFrame, *keep: str) -> DataFrame:
-    """One row for each distinct line of a document, with the testimony of the document for it."""
-    ranked = let(
-        F.reverse(F.sort_array(F.array_distinct(F.transform("__marks", lambda m: F.struct(m["n"].alias("n"), m["h"].alias("h")))))),
-        lambda s: F.transform(F.array_distinct(F.transform(s, lambda m: m["h"])), lambda h: F.struct(h.alias("h"), F.coalesce(F.when(s[0]["h"] != h, s[0]["h"]), F.get(s, F.lit(1))["h"], F.lit(0).cast("long")).alias("by"))),
-    )
-    return marks.select(*keep, "__host", F.explode(ranked).alias("__m")).select(*keep, "__host", F.col("__m.h").alias("__line"), F.col("__m.by").alias("__by"))
-
-
-def frequent_lines(marks: DataFrame, min_docs: int, share: float) -> DataFrame:
-    """(__host, __line) of lines that at least min_docs and share of a host's documents hold."""
-    lines = exploded(marks)
-    often = lines.groupBy("__host", "__line").agg(F.count("*").alias("__n")).where(F.col("__n") >= min_docs)
-    hosts = marks.groupBy("__host").agg(F.count("*").alias("__docs"))
-    limit = F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("__docs"))
-    o, h = often.alias("o"), hosts.alias("h")
-    over = o.join(h, F.col("o.__host").eqNullSafe(F.col("h.__host"))).where(F.col("o.__n") >= limit).select("o.__host", "o.__line", limit.alias("__limit"))
-    a, b = lines.alias("a"), over.alias("b")
-    witnesses = a.join(b, F.col("a.__host").eqNullSafe(F.col("b.__host")) & (F.col("a.__line") == F.col("b.__line"))).select("a.__host", "a.__line", "a.__by", "b.__limit")
-    return (
-        witnesses.groupBy("__host", "__line", "__limit", "__by").agg(F.lit(1).alias("__one"))
-        .groupBy("__host", "__line", "__limit").agg(F.count("*").alias("__n"))
-        .where(F.col("__n") >= F.col("__limit"))
-        .select("__host", "__line")
-    )
+def frequent_lines(marks: DataFrame, min_docs: int, share: float, own: float) -> DataFrame:
+    """(__host, __line) of lines that at least min_docs and share of a host's distinct documents hold."""
+    distinct = marks.groupBy("__host", "__key").agg(F.first("__marks").alias("__marks"), F.first("n_words").alias("n_words"))
+    each = distinct.select("__host", "__key", "n_words", F.explode_outer("__marks").alias("__m"))
+    lines = written(each.groupBy("__host", "__key", F.col("__m.h").alias("__line")).agg(F.sum("__m.n").alias("__n"), F.first("n_words").alias("n_words")), "lines")
+    hosts = lines.select("__host", "__key").distinct().groupBy("__host").agg(F.greatest(F.lit(float(min_docs)), F.lit(share) * F.count("*")).alias("__limit"))
+    held = lines.where(F.col("__line").isNotNull())
+
+    def over(counts: DataFrame) -> DataFrame:
+        c, h = counts.alias("c"), hosts.alias("h")
+        return c.join(h, F.col("c.__host").eqNullSafe(F.col("h.__host"))).where(F.col("c.__docs") >= F.col("h.__limit")).select("c.__host", "c.__line")
+
+    # a line below min_docs is under every limit; that leaves few rows for the join
+    often = over(held.groupBy("__host", "__line").agg(F.count("*").alias("__docs")).where(F.col("__docs") >= min_docs))
+    a, b = held.alias("a"), often.alias("b")
+    hits = a.join(b, F.col("a.__host").eqNullSafe(F.col("b.__host")) & (F.col("a.__line") == F.col("b.__line"))).select("a.*")
+    docs = hits.groupBy("__host", "__key").agg(F.sum("__n").alias("__often"), F.first("n_words").alias("n_words"), F.sort_array(F.collect_set("__line")).alias("__lines"))
+    copies = F.col("n_words") - F.col("__often") < F.lit(own) * F.col("n_words")
+    counted = docs.select("__host", F.when(copies, F.xxhash64("__lines", F.lit("copies"))).otherwise(F.col("__key")).alias("__as"), F.explode("__lines").alias("__line"))
+    return over(counted.distinct().groupBy("__host", "__line").agg(F.count("*").alias("__docs")))
 
 
 def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = 20, share: float = 0.1, min_words: int = 10, min_left: float = 0.2) -> DataFrame:
     """One row per document: key, the statistics, removed line hashes, words left, base_failed and kept.
 
-    A line goes if at least max(min_docs, share of the host's documents) distinct documents of the host
-    hold it. A document is depleted if a line went and fewer than min_words words, or less than min_left
+    A line goes if at least max(min_docs, share of the host's distinct documents) of these hold it, near copies
+    counting as one (less than min_left of their words are in lines of their own). A document is depleted if a line went and fewer than min_words words, or less than min_left
     of its words, remain.
     """
-    marks = written(features(docs.select(key, text, host) if len({key, text, host}) == 3 else docs, [key], text, host), "lines")
-    often = frequent_lines(marks, min_docs, share)
-    a, b = exploded(marks, key, "__key").alias("a"), often.alias("b")
+    marks = written(features(docs.select(key, text, host) if len({key, text, host}) == 3 else docs, [key], text, host), "marks")
+    often = frequent_lines(marks, min_docs, share, min_left)
+    held = marks.select(key, "__key", "__host", F.explode(F.array_distinct(F.transform("__marks", lambda m: m["h"]))).alias("__line"))
+    a, b = held.alias("a"), often.alias("b")
     hits = a.join(b, F.col("a.__host").eqNullSafe(F.col("b.__host")) & (F.col("a.__line") == F.col("b.__line")), "left_semi")
     gone = hits.groupBy(F.col(key).alias("__id"), F.col("__key").alias("__key2")).agg(F.collect_set("__line").alias("removed"))
     out = marks.join(gone, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__key2")), "left")
@@ -145,8 +146,7 @@ def filtered(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     """
     verdicts = judged(docs, key, text, host, **limits).where(~F.col("kept") | F.col("removed").isNotNull())
     small = verdicts.groupBy(F.col(key).alias("__id"), F.col("__key").alias("__key2")).agg(F.first("removed").alias("__removed"), F.min("kept").alias("__kept"))
-    key_of = F.xxhash64(F.col(text), F.col(host))
-    joined = docs.withColumn("__key", key_of).join(small, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__key2")), "left")
+    joined = docs.withColumn("__key", text_key(text, host)).join(small, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__key2")), "left")
     joined = joined.where(F.coalesce(F.col("__kept"), F.lit(True)))
     cleaned = F.when(F.col("__removed").isNull(), F.col(text)).otherwise(without_lines(F.col(text), F.col("__removed")))
     joined = joined.withColumn(text, cleaned)
@@ -161,7 +161,7 @@ def op5_line_frequency(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *STATS, "base_failed", "kept", "n_words_left", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed_lines"))
 
 
-#: The same in SQL. Of longest lines of equal length another one may testify; only equality of testimony counts.
+#: The same in SQL. nw: the words of a text that are in lines over the plain limit; c: as which document it counts.
 OP5_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
  w AS (SELECT rid, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
@@ -172,13 +172,16 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, ''
  l AS (SELECT rid, source, line, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM raw
        WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
  dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY rid),
- u AS (SELECT DISTINCT rid, source, norm, len(string_split(norm, ' ')) AS n FROM l),
- rk AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY n DESC, md5(norm)) AS k FROM u),
- tops AS (SELECT rid, max(CASE WHEN k = 1 THEN norm END) AS first, max(CASE WHEN k = 2 THEN norm END) AS second FROM rk GROUP BY rid),
- m AS (SELECT u.rid, u.source, u.norm, CASE WHEN u.norm <> tops.first THEN tops.first ELSE coalesce(tops.second, '') END AS by_line FROM u JOIN tops USING (rid)),
- hosts AS (SELECT source, greatest(20.0, 0.1 * count(*)) AS lim FROM d GROUP BY source),
- often AS (SELECT m.source, m.norm FROM m JOIN hosts ON m.source IS NOT DISTINCT FROM hosts.source
-           GROUP BY m.source, m.norm, hosts.lim HAVING count(*) >= hosts.lim AND count(DISTINCT by_line) >= hosts.lim),
+ u AS (SELECT DISTINCT rid, source, norm FROM l),
+ one AS (SELECT min(rid) AS rid FROM d GROUP BY source, t),
+ hosts AS (SELECT source, greatest(20.0, 0.1 * count(DISTINCT t)) AS lim FROM d GROUP BY source),
+ plain AS (SELECT u.source, u.norm FROM u JOIN one USING (rid) JOIN hosts ON u.source IS NOT DISTINCT FROM hosts.source
+           GROUP BY u.source, u.norm, hosts.lim HAVING count(*) >= hosts.lim),
+ nw AS (SELECT l.rid, sum(len(string_split(l.norm, ' '))) AS n_often, array_to_string(list_sort(list(DISTINCT l.norm)), chr(10)) AS norms
+        FROM l JOIN one USING (rid) JOIN plain p ON l.source IS NOT DISTINCT FROM p.source AND l.norm = p.norm GROUP BY l.rid),
+ c AS (SELECT nw.rid, CASE WHEN len(w.ws) - n_often < 0.2 * len(w.ws) THEN 'c' || norms ELSE 'd' || nw.rid END AS doc FROM nw JOIN w USING (rid)),
+ often AS (SELECT u.source, u.norm FROM u JOIN c USING (rid) JOIN plain p ON u.source IS NOT DISTINCT FROM p.source AND u.norm = p.norm
+           JOIN hosts ON u.source IS NOT DISTINCT FROM hosts.source GROUP BY u.source, u.norm, hosts.lim HAVING count(DISTINCT doc) >= hosts.lim),
  gone AS (SELECT u.rid, u.norm FROM u JOIN often ON u.source IS NOT DISTINCT FROM often.source AND u.norm = often.norm),
  kept_lines AS (SELECT l.rid, coalesce(sum(len(string_split(l.norm, ' '))) FILTER (WHERE g.norm IS NULL), 0) AS n_left
                 FROM l LEFT JOIN gone g ON l.rid = g.rid AND l.norm = g.norm GROUP BY l.rid),

@@ -270,6 +270,43 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert foot in left[300] and left[100] == rows.where("doc_id = 100").first().text
 
 
+def test_shared_lines_do_not_hide_each_other(spark):
+    """Documents count, whatever else they share; exact and near copies of a text count as one."""
+    nav, legal = "home news sport weather culture travel", " ".join(f"legal{k}" for k in range(28))
+    rows = [(i, f"{nav}\nthe body of page {i} with words such as a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} i{i} j{i} k{i}\n{legal}", "h") for i in range(200)]
+    rows += [(1000 + i, "one text many times " * 8 + "\nand its second line which is here as well", "h") for i in range(100)]
+    got = {r.doc_id: r for r in line_frequency.op5_line_frequency(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].n_removed_lines == 2 and got[i].kept and got[i].n_words_left == 20 for i in range(200))
+    assert all(got[1000 + i].n_removed_lines == 0 for i in range(100))
+
+
+def plain_lines(rows, min_docs=20, share=0.1, own=0.2):
+    """The lines that go from each text, by counting in plain Python."""
+    norm = lambda x: " ".join(w for w in re.split(r"[\x20\x09-\x0D]+", x.lower()) if w)
+    by_host = {}
+    for t, host in {(t or "", host) for t, host in rows}:
+        by_host.setdefault(host, []).append((t, [norm(x) for x in t.split("\n") if norm(x)]))
+    gone = {}
+    for host, docs in by_host.items():
+        limit = max(min_docs, share * len(docs))
+        over = {x for x, n in Counter(x for _, ls in docs for x in set(ls)).items() if n >= limit}
+        seen = set()
+        for t, ls in docs:
+            often, n = [x for x in ls if x in over], sum(len(x.split(" ")) for x in ls)
+            mine = n - sum(len(x.split(" ")) for x in often)
+            seen |= {(x, frozenset(often) if mine < own * n else t) for x in often}
+        gone[host] = {x for x, n in Counter(x for x, _ in seen).items() if n >= limit}
+    return {(t, host): len(gone[host] & set(ls)) for host, docs in by_host.items() for t, ls in docs}
+
+
+def test_removed_lines_match_counting(spark):
+    rows = boilerplate(spark)[0].union(documents(spark).select("doc_id", "text", "source"))
+    want = plain_lines([(r.text, r.source) for r in rows.collect()], 5, 0.02)
+    out = line_frequency.judged(rows, min_docs=5, share=0.02).select("doc_id", F.size(F.coalesce("removed", F.array())).alias("n")).collect()
+    assert Counter((r.doc_id, r.n) for r in out) == Counter((r.doc_id, want[r.text or "", r.source]) for r in rows.collect())
+    assert any(r.n for r in out)
+
+
 # 6
 
 
