@@ -20,6 +20,7 @@ copy, n_copies or shuffle_key are replaced.
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,16 +29,18 @@ from ._store import own_columns
 
 OTHERS = "*"
 OWN = ["copy", "n_copies", "shuffle_key"]
-#: The production weights: the largest source is held to a tenth of the text, all others share the rest.
-WEIGHTS = {"src0": 0.1, OTHERS: 0.9}
+#: The production weights: the first source makes up a tenth of the text, nineteen others and the rest an equal share each.
+WEIGHTS = {"src0": 0.1, **{f"src{i}": 0.045 for i in range(1, 20)}, OTHERS: 0.045}
+#: From this mean rate on, counts are tabulated around the mean only.
+DIRECT = 500
 
 
 def poisson_cdf(rate: float) -> list[float]:
     """P(X <= k) for k = 0, 1, ... until no uniform number of 52 bits lies above."""
     if rate <= 0:
         return [1.0]
-    if rate > 500:
-        raise ValueError(f"a mean repetition rate of {rate:.0f} is no mixture; lower the weight")
+    if rate > DIRECT:
+        raise ValueError(f"a mean repetition rate of {rate:.0f} is beyond direct summation; see poisson_steps")
     term = total = math.exp(-rate)
     out, k = [total], 0
     while total < 1 - 2.0**-52 and term > 0:
@@ -48,6 +51,24 @@ def poisson_cdf(rate: float) -> list[float]:
     return out
 
 
+def poisson_steps(rate: float) -> tuple[int, list[float]]:
+    """(first, P(X <= first), P(X <= first + 1), ...), so that the quantile of u is first + how many are at most u.
+
+    For high rates the terms are computed from the logarithm of the one at the mean; nine standard deviations on
+    both sides leave out less than the 52 bits of a uniform number can tell. A table grows with the rate's root.
+    """
+    if rate <= DIRECT:
+        return 0, poisson_cdf(rate)
+    mean, width = int(rate), int(9 * math.sqrt(rate)) + 9
+    first = max(0, mean - width)
+    logs = [k * math.log(rate) - rate - math.lgamma(k + 1) for k in (first,)]
+    for k in range(first + 1, mean + width):
+        logs.append(logs[-1] + math.log(rate / k))
+    terms = [math.exp(x) for x in logs]
+    whole = math.fsum(terms)
+    return first, [min(1.0, x / whole) for x in accumulate(terms)]
+
+
 def uniform(identity: Column, seed: str) -> Column:
     """52 bits of an MD5 as a number from 0 to below 1."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), identity)), 1, 13), 16, 10).cast("long").cast("double") / F.lit(2.0**52)
@@ -70,12 +91,12 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, seed: str =
     """The replicated documents, globally shuffled: the columns of docs, then copy, n_copies, shuffle_key."""
     weights = weights or WEIGHTS
     docs = own_columns(docs, OWN)
-    tables = {b: poisson_cdf(r) for b, r in rates(docs, weights, source, text).items()}
+    tables = {b: poisson_steps(r) for b, r in rates(docs, weights, source, text).items()}
     identity = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit("")))))
     u = uniform(identity, seed)
     count = F.lit(0)
-    for name, cdf in tables.items():
-        steps = F.size(F.filter(F.array(*[F.lit(c) for c in cdf]), lambda c: c <= u))
+    for name, (first, cdf) in tables.items():
+        steps = F.lit(first) + F.size(F.filter(F.from_json(F.lit("[" + ",".join(map(repr, cdf)) + "]"), "array<double>"), lambda c: c <= u))
         count = F.when(bucket(weights, source) == F.lit(name), steps).otherwise(count)
     counted = docs.withColumn("n_copies", count.cast("int")).where(F.col("n_copies") > 0)
     copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
@@ -90,10 +111,10 @@ def op2_poisson_mix(docs: DataFrame) -> DataFrame:
 
 #: u below 1 has 52 bits; the quantile is the number of k with P(X <= k) <= u.
 OP2_SQL = """
-WITH d AS (SELECT doc_id, source, text, CASE WHEN source = 'src0' THEN 'src0' ELSE '*' END AS b,
+WITH d AS (SELECT doc_id, source, text, CASE WHEN regexp_full_match(source, 'src(1?[0-9])') THEN source ELSE '*' END AS b,
                   coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS ident FROM documents),
  s AS (SELECT b, coalesce(sum(length(text)), 0)::DOUBLE AS n FROM d GROUP BY b),
- w AS (SELECT b, n, CASE b WHEN 'src0' THEN 0.1::DOUBLE ELSE 0.9::DOUBLE END AS w FROM s),
+ w AS (SELECT b, n, CASE b WHEN 'src0' THEN 0.1::DOUBLE ELSE 0.045::DOUBLE END AS w FROM s),
  t AS (SELECT sum(n) AS total, sum(CASE WHEN n > 0 THEN w END) AS wanted FROM w),
  r AS (SELECT b, CASE WHEN n > 0 THEN w / wanted * total / n ELSE 1.0::DOUBLE END AS rate FROM w, t),
  c AS (SELECT b, k, sum(exp(-rate) * pow(rate, k) / factorial(k::INTEGER)::DOUBLE) OVER (PARTITION BY b ORDER BY k) AS cdf

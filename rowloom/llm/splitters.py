@@ -3,16 +3,18 @@
 The law is `bytes`: shard sizes near equal. Records are ordered by a 64-bit hash of their text, so equal
 texts are neighbours and form a group. A size-weighted sample of these keys gives quantile splitters;
 the splitters cut the key line into many more ranges than there are shards. Exact sizes of the ranges
-are then counted, overfull ranges (a hot group, or a bad draw) are subdivided by a second hash, and
-consecutive pieces fill the shards in order up to equal sizes.
+are then counted, overfull ranges (a hot group, or a bad draw) are subdivided by a second hash, of all that a
+record has, and what is overfull still (records that are equal in all) by the place of the record in the table
+that this operator writes. Consecutive pieces fill the shards in order up to equal sizes.
 
 Scale: the texts are read once and reduced to (row columns, size, CRC, key) rows in the shared folder. The
-driver sees splitters and sizes of pieces; their number follows the parameters ranges_per_shard and
-rows_per_range, not the rows. A piece is numbered by a window of its own, and the slots of a shard
-continue from piece to piece, so no task holds a shard.
+driver sees splitters and sizes of pieces: some hundred bytes for each range, and a range for every
+rows_per_range rows (200,000 ranges for 100 billion rows). A piece is numbered by a window of its own, and the
+slots of a shard continue from piece to piece, so no task holds a shard, nor a group of equal records.
 
-Defined results: null text has size 8 and the CRC 0; repeated rows are records of their own; an empty
-table gives no rows; columns of the input named like a result column are replaced.
+Defined results: null text has size 8 and the CRC 0; repeated rows are records of their own, and which of
+equal rows goes to which shard may differ from run to run; a null key is like any other; an empty table gives
+no rows; columns of the input named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -74,7 +76,8 @@ def sharded(
             (F.octet_length(body) + F.lit(OVERHEAD)).cast("long").alias("size"),
             F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
             F.xxhash64(body).alias("__key"),
-            F.xxhash64(F.col(key), F.lit("sub")).alias("__sub"),
+            F.xxhash64(*[F.col(c).cast("string") for c in dict.fromkeys([key, *keep])], F.lit("sub")).alias("__sub"),
+            F.monotonically_increasing_id().alias("__row"),
         ),
         "keys",
     )
@@ -85,35 +88,34 @@ def sharded(
     at = interval(longs(cuts), len(cuts), F.col("__key")) if cuts else F.lit(0)
     ranged = base.withColumn("__range", at)
 
-    # Exact sizes; a range of more than twice the mean is dealt into pieces by the second hash.
+    # Exact sizes; what has more than twice the mean is dealt into pieces by the second hash, then by the row.
     fair = max(1.0, total / n)
-    sizes = {r["__range"]: int(r["b"]) for r in ranged.groupBy("__range").agg(F.sum("size").alias("b")).collect()}
-    parts = {r: -(-b // int(fair + 1)) for r, b in sizes.items() if b > 2 * fair}
-    pieces = ranged.withColumn("__piece", F.pmod("__sub", F.coalesce(_lookup(parts, F.col("__range")), F.lit(1).cast("long"))).cast("int"))
-    found = sorted((r["__range"], r["__piece"], int(r["b"]), int(r["n"])) for r in pieces.groupBy("__range", "__piece").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect())
+    pieces = divided(ranged, ["__range"], "__piece", F.col("__sub"), fair)
+    pieces = divided(pieces, ["__range", "__piece"], "__part", F.xxhash64("__row", F.lit("part")), fair)
+    at = ["__range", "__piece", "__part"]
+    found = sorted((*(r[c] for c in at), int(r["b"]), int(r["n"])) for r in pieces.groupBy(*at).agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect())
 
     # Consecutive pieces fill the shards: a piece goes where its middle falls on the line of all bytes.
     place, before, slots = [], 0, [0] * shards
-    for r, p, b, k in found:
+    for *p, b, k in found:
         shard = min(shards - 1, int((before + b / 2) * shards // max(total, 1)))
-        place.append((r, p, shard, slots[shard]))
+        place.append((*p, shard, slots[shard]))
         slots[shard] += k
         before += b
-    spark = docs.sparkSession
-    table = spark.createDataFrame(place, "__r int, __p int, shard int, __first long")
-    joined = pieces.join(F.broadcast(table), (F.col("__range") == F.col("__r")) & (F.col("__piece") == F.col("__p")))  # as many rows as pieces
-    w = Window.partitionBy("__range", "__piece").orderBy("__key", "__sub", "text_crc32")
+    table = docs.sparkSession.createDataFrame(place, "__range int, __piece int, __part int, shard int, __first long")
+    joined = pieces.join(F.broadcast(table), at)  # as many rows as pieces
+    w = Window.partitionBy(*at).orderBy("__key", "__sub", "__row")
     return joined.select(*keep, "size", "text_crc32", "shard", (F.col("__first") + F.row_number().over(w) - 1).cast("long").alias("slot"))
 
 
-def _lookup(values: dict[int, int], at: Column) -> Column:
-    """The value for a range, null for ranges without one; by binary search over two literal arrays."""
-    if not values:
-        return F.lit(None).cast("long")
-    ks = sorted(values)
-    keys, vals = longs(ks), longs([values[k] for k in ks])
-    i = interval(keys, len(ks), at)
-    return F.when(F.get(keys, i - 1) == at, F.get(vals, i - 1))
+def divided(rows: DataFrame, at: list[str], name: str, by: Column, fair: float) -> DataFrame:
+    """rows with the column name: a number by the hash `by` where rows of one `at` have more than 2 * fair bytes, else 0."""
+    sizes = rows.groupBy(*at).agg(F.sum("size").alias("b")).where(F.col("b") > 2 * fair)
+    large = [(*(r[c] for c in at), -(-int(r["b"]) // int(fair + 1))) for r in sizes.collect()]  # fewer than half the ranges
+    if not large:
+        return rows.withColumn(name, F.lit(0))
+    table = rows.sparkSession.createDataFrame(large, ", ".join(f"{c} int" for c in at) + ", __n long")
+    return rows.join(F.broadcast(table), at, "left").withColumn(name, F.pmod(by, F.coalesce("__n", F.lit(1))).cast("int")).drop("__n")
 
 
 def op10_sampled_splitters(docs: DataFrame) -> DataFrame:

@@ -12,11 +12,15 @@ Two empty sets are alike (1.0).
 The next document in ascending key is found without a global window: keys are grouped by their upper
 bits, first keys of the groups are linked by a short ladder of ever wider groups (each rung sees at most
 4,096 children a group), and each group gets the first document of the group after it as a guest. So
-one window a group, over at most 4,096 different keys, sees every neighbour; the texts move once.
+one window a group, over at most 4,096 different keys, sees every neighbour; the texts move once, and
+guests once more where a group is a handful of documents (sparse keys).
 
-Defined results: null text counts as empty; null keys come before all others and are one group; rows
-that share a key are ordered by text, so equal rows are each other's neighbours; a table of one row is
-its own neighbour; an empty table gives no rows; columns with the names of result columns are replaced.
+A key that more than CROWD rows share (the null key, say) is not left to one window: of its rows only the first
+and the last take part above, and the rows between are linked among themselves, in the same way, by the hash of
+their text; of rows that are equal in all, one takes part and the others follow one another.
+
+Defined results: null text counts as empty; null keys come before all others; rows that share a key are ordered
+by a hash of their text, so equal rows are each other's neighbours; a table of one row is its own neighbour; an empty table gives no rows; columns with the names of result columns are replaced.
 """
 
 from __future__ import annotations
@@ -100,33 +104,68 @@ def next_groups(level: DataFrame) -> DataFrame:
 BROADCAST_BYTES = 8 << 20
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
-    """docs with next_<c> for each of columns, from the next row in ascending key, then columns; last: the first.
+#: Rows of one key from which on they are linked by the hash of their text.
+CROWD = 10_000
+
+
+def with_next(docs: DataFrame, key: str, columns: list[str], derived: dict[str, Column] | None = None, crowd: int = CROWD) -> DataFrame:
+    """docs with next_<c> for each of columns, from the next row in ascending key, then their hash; last: the first.
 
     derived columns are computed once a row, before the rows are dealt, and get their next_ as well.
     """
-    spark = docs.sparkSession
-    order = [F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in columns]]
-    ids = docs.select(key)
-    heads = written(ids.groupBy(group_of(F.col(key)).alias("__g")).agg(F.min(key).alias("__head")), "heads")
-    ends = heads.agg(F.min("__g").alias("lo"), F.count("*").alias("n")).first()
-    links = next_groups(heads.select(F.col("__g").alias("g")))
-    after = links.select(F.coalesce("after", F.lit(ends["lo"]).cast("long")).alias("__g"), F.col("g").alias("__host"))
-    guests = heads.join(after, "__g").select("__head", "__host")
-    if ends["n"] * 32 <= BROADCAST_BYTES:
+    rows = docs.withColumn("__h", F.xxhash64(*columns))
+    crowds = rows.groupBy(key).agg(F.count("*").alias("__n"), F.min("__h").alias("__lo"), F.max("__h").alias("__hi")).where(F.col("__n") > crowd)
+    crowds = written(crowds.select(F.col(key).alias("__k"), "__lo", "__hi"), "crowds")  # at most a row for each `crowd` rows
+    if crowds.isEmpty():
+        return linked(rows, [], key, columns, derived).drop("__h")
+    r, c = rows.alias("r"), crowds.alias("c")
+    each = r.join(c, F.col(f"r.{key}").eqNullSafe(F.col("c.__k")), "left").select("r.*", "__lo", "__hi")
+    # equal rows of a crowd: one stands for all, and the others have themselves as the next
+    same = [*[x for x in docs.columns], "__h", "__lo", "__hi"]
+    inside = written(each.where(F.col("__lo").isNotNull()).groupBy(*same).agg(F.count("*").alias("__copies")), "crowded")
+    copies = inside.where(F.col("__copies") > 1).withColumns(derived or {})
+    copies = copies.withColumn("__i", F.explode(F.sequence(F.lit(2).cast("long"), F.col("__copies"))))
+    copies = copies.withColumns({f"next_{x}": F.col(x) for x in (*columns, *(derived or {}))})
+    apart = [F.col(key)]
+    within = linked(inside.withColumn("__by", F.col("__h")), apart, "__by", columns, derived).where(F.col("__h") < F.col("__hi")).drop("__by")
+    ends = inside.where(F.col("__h").isin(F.col("__lo"), F.col("__hi")))
+    outside = each.where(F.col("__lo").isNull()).unionByName(ends, allowMissingColumns=True)
+    around = linked(outside, [], key, columns, derived).where(F.col("__lo").isNull() | (F.col("__h") == F.col("__hi")))
+    names = [*docs.columns, *(derived or {}), *(f"next_{x}" for x in (*columns, *(derived or {})))]
+    return around.select(*names).unionByName(within.select(*names)).unionByName(copies.select(*names))
+
+
+def linked(docs: DataFrame, apart: list[Column], key: str, columns: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
+    """with_next for rows whose keys are not crowded, each set of rows that agree in `apart` for itself."""
+    order = [F.col(key).asc_nulls_first(), F.col("__h")]
+    docs = docs.withColumn("__apart", F.xxhash64(F.lit(0), *apart)) if apart else docs.withColumn("__apart", F.lit(0).cast("long"))
+    rung = 52 if apart else RUNG  # hashes fill all 64 bits: 4,096 groups
+    group = group_of(F.col(key), rung)
+    heads = written(docs.groupBy("__apart", group.alias("__g")).agg(F.min(key).alias("__head")), "heads")
+    if apart:
+        each = Window.partitionBy("__apart")
+        after = F.coalesce(F.lead("__g").over(each.orderBy("__g")), F.min("__g").over(each))
+        links = heads.select("__apart", F.col("__g").alias("__host"), after.alias("__g"))
+        n = heads.count()
+    else:
+        ends = heads.agg(F.min("__g").alias("lo"), F.count("*").alias("n")).first()
+        chain = next_groups(heads.select(F.col("__g").alias("g")))
+        links, n = chain.select(F.lit(0).cast("long").alias("__apart"), F.col("g").alias("__host"), F.coalesce("after", F.lit(ends["lo"]).cast("long")).alias("__g")), ends["n"]
+    guests = heads.join(links, ["__apart", "__g"]).select("__apart", "__head", "__host")
+    if n * 32 <= BROADCAST_BYTES:
         guests = F.broadcast(guests)
-    d, g = docs.select(key, *columns).alias("d"), guests.alias("g")
-    first = Window.partitionBy("__host").orderBy(*order)
+    d, g = docs.alias("d"), guests.alias("g")
+    first = Window.partitionBy("__apart", "__host").orderBy(*order)
     visiting = (
-        d.join(g, F.col(f"d.{key}").eqNullSafe(F.col("g.__head"))).select("d.*", "g.__host")
+        d.join(g, (F.col("d.__apart") == F.col("g.__apart")) & F.col(f"d.{key}").eqNullSafe(F.col("g.__head"))).select("d.*", "g.__host")
         .withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1).drop("__n")
     )
-    own = docs.withColumn("__host", group_of(F.col(key))).withColumn("__guest", F.lit(0))
-    both = own.unionByName(visiting.withColumn("__guest", F.lit(1)), allowMissingColumns=True).withColumns(derived or {})
-    w = Window.partitionBy("__host").orderBy(F.col("__guest"), *order)
+    own = docs.withColumn("__host", group).withColumn("__guest", F.lit(0))
+    both = own.unionByName(visiting.withColumn("__guest", F.lit(1))).withColumns(derived or {})
+    w = Window.partitionBy("__apart", "__host").orderBy(F.col("__guest"), *order)
     for c in [*columns, *(derived or {})]:
         both = both.withColumn(f"next_{c}", F.lead(c).over(w))
-    return both.where(F.col("__guest") == 0).drop("__host", "__guest")
+    return both.where(F.col("__guest") == 0).drop("__host", "__guest", "__apart")
 
 
 def edited(text: Column, following: Column) -> Column:

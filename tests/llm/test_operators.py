@@ -96,12 +96,13 @@ def test_poisson_counts(spark):
     rows = documents(spark)
     got = poisson_mix.mixed(rows).collect()
     sizes = Counter()
+    bucket = lambda r: r.source if r.source in poisson_mix.WEIGHTS else "*"
     for r in rows.collect():
-        sizes["src0" if r.source == "src0" else "*"] += len(r.text)
-    total = sum(sizes.values())
+        sizes[bucket(r)] += len(r.text)
+    total, wanted = sum(sizes.values()), sum(poisson_mix.WEIGHTS[b] for b in sizes)
     want = Counter()
     for r in rows.collect():
-        rate = poisson_mix.WEIGHTS["src0" if r.source == "src0" else "*"] * total / sizes["src0" if r.source == "src0" else "*"]
+        rate = poisson_mix.WEIGHTS[bucket(r)] / wanted * total / sizes[bucket(r)]
         u = int(hashlib.md5(f"mix-1|{r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
         k, term = 0, math.exp(-rate)
         below = term
@@ -135,6 +136,19 @@ def test_mixture_of_awkward_rows(spark):
         poisson_mix.poisson_cdf(1000)
 
 
+def test_high_rates(spark):
+    """A source of three documents that is to make up half of the text."""
+    for rate in (501.0, 40_000.0):
+        first, cdf = poisson_mix.poisson_steps(rate)
+        assert all(a <= b for a, b in zip(cdf, cdf[1:])) and cdf[-1] > 1 - 1e-12 and cdf[0] < 1e-15
+        mean = first + sum(1 - c for c in cdf)
+        assert abs(mean - rate) < 1e-3
+    assert poisson_mix.poisson_steps(499.0) == (0, poisson_mix.poisson_cdf(499.0))
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, "rare").otherwise("usual").alias("source"), F.lit("some text").alias("text"))
+    found = {r["source"]: r["count"] for r in poisson_mix.mixed(rows, {"rare": 0.5, "usual": 0.5}).groupBy("source").count().collect()}
+    assert 2800 < found["rare"] < 3200 and 2800 < found["usual"] < 3200
+
+
 # 3
 
 
@@ -229,7 +243,18 @@ def test_next_over_sparse_keys(spark):
     one = spark.createDataFrame([(5, "x")], "k long, t string")
     assert syncmers.with_next(one, "k", ["t"]).first().next_t == "x"
     ties = spark.createDataFrame([(1, "b"), (1, "a"), (None, "n"), (2, "c")], "k long, t string")
-    assert {(r.k, r.t): r.next_t for r in syncmers.with_next(ties, "k", ["t"]).collect()} == {(None, "n"): "a", (1, "a"): "b", (1, "b"): "c", (2, "c"): "n"}
+    x, y = [r.t for r in ties.where("k = 1").orderBy(F.xxhash64("t")).collect()]
+    assert {(r.k, r.t): r.next_t for r in syncmers.with_next(ties, "k", ["t"]).collect()} == {(None, "n"): x, (1, x): y, (1, y): "c", (2, "c"): "n"}
+
+
+@pytest.mark.parametrize("crowd", [3, 10_000])
+def test_next_in_a_crowd(spark, crowd):
+    """Many rows without a key, some of them equal, and a crowded key in the middle: one ring of all rows."""
+    rows = [(None, f"n{i}") for i in range(40)] + [(None, "equal")] * 30 + [(k, f"k{k}") for k in range(0, 90_000, 4000)] + [(8000, f"m{i % 20}") for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(5)
+    order = [(r.k, r.t) for r in df.orderBy(F.col("k").asc_nulls_first(), F.xxhash64("t")).collect()]
+    want = Counter((*order[i], order[(i + 1) % len(order)][1]) for i in range(len(order)))
+    assert Counter((r.k, r.t, r.next_t) for r in syncmers.with_next(df, "k", ["t"], crowd=crowd).collect()) == want
 
 
 # 5
@@ -672,6 +697,42 @@ def test_shards_are_even_and_groups_stay_together(spark):
     assert split < 100  # of 10,000 pairs; those in ranges beside the hot one
 
 
+def test_equal_rows_are_split(spark):
+    """20,000 equal rows without an id and as many others fill all shards alike."""
+    hot = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words " * 3).alias("text"))
+    rows = hot.union(spark.range(20_000).select("id", F.concat(F.lit("text of its own, number "), F.col("id").cast("string"), F.lit(" and so on"))))
+    got = splitters.op10_sampled_splitters(rows)
+    sizes = {r.shard: (r.b, r.n, r.s, r.t) for r in got.groupBy("shard").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.min("slot").alias("s"), F.max("slot").alias("t")).collect()}
+    assert len(sizes) == 24 and max(x[0] for x in sizes.values()) < 1.1 * min(x[0] for x in sizes.values())
+    assert all(s == 0 and t == n - 1 for _, n, s, t in sizes.values()) and sum(x[1] for x in sizes.values()) == 40_000
+
+
+def test_shards_by_hand(spark, monkeypatch):
+    """The shard of every row from the splitters, with plain bisection and summing."""
+    from bisect import bisect_right
+
+    cuts = []
+    draw = splitters.splitters
+    monkeypatch.setattr(splitters, "splitters", lambda *a, **k: cuts.append(draw(*a, **k)) or cuts[0])
+    rows = documents(spark).select("doc_id", "text").withColumn("text", F.when(F.col("doc_id") % 3 == 0, "hot text of a third").otherwise(F.col("text")))
+    got = {r.doc_id: r.shard for r in splitters.op10_sampled_splitters(rows).collect()}
+    hashed = rows.select("doc_id", (F.octet_length("text") + 8).alias("size"), F.xxhash64("text").alias("key"), F.xxhash64(F.col("doc_id").cast("string"), F.lit("sub")).alias("sub")).collect()
+    total, n = sum(r.size for r in hashed), 24 * 128
+    fair, ranges, pieces = total / n, Counter(), Counter()
+    for r in hashed:
+        ranges[bisect_right(cuts[0], r.key)] += r.size
+    parts = {k: -(-b // int(fair + 1)) if b > 2 * fair else 1 for k, b in ranges.items()}
+    place = {r.doc_id: (k := bisect_right(cuts[0], r.key), r["sub"] % parts[k]) for r in hashed}
+    for r in hashed:
+        pieces[place[r.doc_id]] += r.size
+    assert max(parts.values()) > 1
+    at, before = {}, 0
+    for p in sorted(pieces):
+        at[p] = min(23, int((before + pieces[p] / 2) * 24 // total))
+        before += pieces[p]
+    assert got == {i: at[p] for i, p in place.items()}
+
+
 def test_binary_search(spark):
     cuts = [3, 5, 5, 9]
     got = spark.range(12).select("id", splitters.interval(splitters.longs(cuts), 4, F.col("id")).alias("n")).collect()
