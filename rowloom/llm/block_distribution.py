@@ -7,19 +7,23 @@ window of three lines is summed. Where the sum rises from zero is a surge point,
 zero a dive point; text between a surge and its dive is kept if the sum reaches a threshold on the way.
 
 The threshold is 86 characters, or the page's highest sum if that is less, so the main text of a page of
-short lines is kept as well. If the page marks its article (article, main), everything inside is kept, and
-of the lines outside those between surge and dive points whose sum reaches three thresholds, if together
-they are longer than all that is marked: a marked teaser does not hide the text beside it.
+short lines is kept as well. What a page marks as its article (article, main) is judged apart from the rest:
+each of its lines weighs 43 characters more, so that two lines of it are enough; of the lines outside, those
+between surge and dive points whose sum reaches three thresholds are kept, if together they are longer than all
+that is marked: a marked teaser does not hide the text beside it. Without such marks the result is the same
+wherever the main text is longer than that.
 
 Defined results: null and empty pages have empty text; unclosed and misnested tags are closed where a
-parent closes; text of any length is processed in one pass; repeated rows get a row each; an empty table
-gives no rows; other columns of the input do not matter.
+parent closes; a tag ends at its first > outside quotes, or at its first > if there is none within 4,096
+characters; text of any length is processed in one pass, in time proportional to it; repeated rows get a row
+each; an empty table gives no rows; other columns of the input do not matter.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html import unescape
 from itertools import accumulate
@@ -32,6 +36,8 @@ from ._store import arrow_map, with_fields
 
 WINDOW = 3
 THRESHOLD = 86
+#: What a line weighs more if the page marks it as its article.
+MARK = 43
 
 #: Element names by what they do to lines.
 RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp".split())
@@ -56,23 +62,78 @@ HEADER_WORDS = frozenset("header topbar siteheader pageheader".split())
 #: Words that mark the article itself and outweigh the others on the same element.
 GOOD_WORDS = frozenset("article articlebody entry post content story maincontent main".split())
 
-TOKEN = re.compile(
-    r"<!--(?:.*?(?:--!?>|\Z))"
-    r"|<(?P<raw>script|style|title|textarea|noscript|iframe|noembed|noframes|xmp)\b(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>"
-    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<[!?/][^>]*+>",
-    re.S | re.I,
-)
+#: Characters within which the end of a tag is looked for outside quotes.
+LONGEST = 4096
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^'\"<>]++|\"[^\"]*+\"|'[^']*+')*+)>")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PARTS = re.compile(r"[^A-Za-z]+")
 
 
-@lru_cache(maxsize=50_000)
+def finder(text: str, what: str) -> Callable[[int], int]:
+    """Where `what` is next, -1 if nowhere, for places that only go forward: the text is searched once in all."""
+    at = -2
+
+    def after(place: int) -> int:
+        nonlocal at
+        if at != -1 and at < place:
+            at = text.find(what, place)
+        return at
+
+    return after
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, value, attributes): text, open and close with the element's name, cdata. Comments and raw elements are left out."""
+    at = place = 0  # text from at on has not been handed on; markup is looked for from place on
+    close, comment, bang, section = (finder(html, x) for x in (">", "-->", "--!>", "]]>"))
+    n = len(html)
+    while True:
+        place = html.find("<", place)
+        if place < 0:
+            break
+        after = html[place + 1 : place + 2]
+        if html.startswith("<!--", place):
+            ends = [e + len(x) for e, x in ((comment(place + 2), "-->"), (bang(place + 2), "--!>")) if e >= 0]
+            kind, value, attrs, end = "", "", "", min(ends, default=n)
+        elif html.startswith("<![CDATA[", place):
+            end = section(place)
+            kind, value, attrs, end = "cdata", html[place + 9 : end if end >= 0 else n], "", end + 3 if end >= 0 else n
+        elif not (after in ("/", "!", "?") or after.isascii() and after.isalpha()):
+            place += 1
+            continue
+        elif (stop := close(place)) < 0:
+            place = html.find("<!--", place)  # nothing but a comment can follow
+            if place < 0:
+                break
+            continue
+        elif m := TAG.match(html, place, place + LONGEST):
+            kind, value, attrs, end = "close" if m[1] else "open", m[2].lower(), m[3], m.end()
+        elif m := NAME.match(html, place, stop):
+            kind, value, attrs, end = "close" if after == "/" else "open", m[1].lower(), html[m.end() : stop], stop + 1
+        else:
+            kind, value, attrs, end = "", "", "", stop + 1
+        if at < place:
+            yield "text", html[at:place], ""
+        if kind == "open" and value in RAW:
+            m = RAW_END[value].search(html, end)
+            kind, end = "", m.end() if m else n
+        if kind:
+            yield kind, value, attrs
+        at = place = end
+    if at < n:
+        yield "text", html[at:], ""
+
+
 def role(name: str, attrs: str) -> str:
     """What an element is: bad, header, main, or nothing known."""
+    return usual_role(name, attrs) if len(attrs) < 300 else usual_role.__wrapped__(name, attrs)
+
+
+@lru_cache(maxsize=20_000)
+def usual_role(name: str, attrs: str) -> str:
     if name in BAD:
         return "bad"
     if name == "header":
@@ -100,6 +161,21 @@ def role(name: str, attrs: str) -> str:
     return "main" if name in MAIN or body else ""
 
 
+class Place:
+    """An element that holds others: when it was opened and closed."""
+
+    __slots__ = ("start", "stop")
+
+    def __init__(self, start: float, stop: float = float("inf")):
+        self.start, self.stop = start, stop
+
+    def holds(self, other: Place) -> bool:
+        return self is other or self.start < other.start < self.stop
+
+
+ROOT = Place(-1)
+
+
 class Lines:
     """The lines of a page: text, weight and whether the page marks them as its article."""
 
@@ -109,11 +185,11 @@ class Lines:
         self.marked: list[bool] = []
         self._run: list[str] = []
         self._plain = 0
-        self._place = self._last = ()
+        self._place = self._last = ROOT
         self._cut = False
 
-    def add(self, text: str, linked: bool, place: tuple[int, ...] = ()) -> None:
-        """place: the open elements, outermost first."""
+    def add(self, text: str, linked: bool, place: Place = ROOT) -> None:
+        """place: the innermost element around the text that holds others."""
         if not self._run:
             self._place = place
         self._run.append(text)
@@ -125,8 +201,7 @@ class Lines:
         if self._run:
             line = " ".join(unescape("".join(self._run)).split())
             if line:
-                near = min(len(self._place), len(self._last))
-                if self._cut and self._last[:near] != self._place[:near]:
+                if self._cut and not self._last.holds(self._place) and not self._place.holds(self._last):
                     self.text += [""] * WINDOW
                     self.weight += [0] * WINDOW
                     self.marked += [False] * WINDOW
@@ -142,38 +217,59 @@ class Lines:
         self._cut = True
 
 
+class Open:
+    """The open elements of a page, and how many of each name and role they are."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, str, Place, bool]] = []
+        self.names: Counter[str] = Counter()
+        self.roles: Counter[str] = Counter()
+        self.headings = self.clock = 0
+
+    def place(self) -> Place:
+        return self.stack[-1][2] if self.stack else ROOT
+
+    def push(self, name: str, kind: str) -> None:
+        self.clock += 1
+        own = name not in LEAVES
+        self.stack.append((name, kind, Place(self.clock) if own else self.place(), own))
+        self.names[name] += 1
+        self.roles[kind] += 1
+        self.headings += name in HEADINGS
+
+    def pop(self) -> None:
+        name, kind, place, own = self.stack.pop()
+        self.clock += 1
+        if own:
+            place.stop = self.clock
+        self.names[name] -= 1
+        self.roles[kind] -= 1
+        self.headings -= name in HEADINGS
+
+    def close(self, name: str) -> None:
+        """Close the innermost element of the name and what is in it; nothing, if none is open."""
+        if self.names[name]:
+            while self.stack[-1][0] != name:
+                self.pop()
+            self.pop()
+
+
 def lines_of(html: str) -> Lines:
-    out, at = Lines(), 0
-    stack: list[tuple[str, str]] = []  # open elements and their roles
-    places: list[int] = []  # where those that hold other blocks began
-    mains = headers = link = 0
+    out, opened, link = Lines(), Open(), 0
     skip, depth = "", 0  # the boilerplate element that is open, and how many of its name
+    roles = opened.roles
 
-    def pop(n: int) -> None:
-        nonlocal mains, headers
-        for _, r in stack[n:]:
-            mains -= r == "main"
-            headers -= r == "header"
-        del stack[n:], places[n:]
-
-    def place() -> tuple[int, ...]:
-        return tuple(p for p in places if p >= 0)
-
-    for m in TOKEN.finditer(html):
-        if at < m.start() and not skip and not (headers and not (mains and any(x[0] in HEADINGS for x in stack))):
-            out.add(html[at : m.start()], link > 0, place())
-        at = m.end()
-        if m["raw"]:
+    for token, name, attrs in tokens(html):
+        if token == "text":
+            if not skip and not (roles["header"] and not (roles["main"] and opened.headings)):
+                out.add(name, link > 0, opened.place())
             continue
-        name = (m["name"] or m["name2"] or "").lower()
-        if not name:
-            if m[0].startswith("<![CDATA[") and not skip:
-                out.add(m[0][9:].removesuffix("]]>").replace("&", "&amp;"), link > 0, place())
+        if token == "cdata":
+            if not skip:
+                out.add(name.replace("&", "&amp;"), link > 0, opened.place())
             continue
-        closing = bool(m["end"] or m["end2"])
-        attrs = m["attrs"] if m["name"] else m["attrs2"]
+        closing = token == "close"
         if skip:
-            parents = [x[0] for x in stack]
             if name == skip:
                 depth += -1 if closing else 1
                 if closing and depth == 0 or skip in ("p", "li") and not closing:
@@ -182,9 +278,9 @@ def lines_of(html: str) -> Lines:
                         continue
                 else:
                     continue
-            elif skip == "p" and name in BLOCKS or closing and name in ("body", "html") or not closing and name in MAIN and not mains and skip not in MAIN:
+            elif skip == "p" and name in BLOCKS or closing and name in ("body", "html") or not closing and name in MAIN and not roles["main"] and skip not in MAIN:
                 skip = ""
-            elif closing and name in MAIN and name in parents and skip not in ("div", "section"):
+            elif closing and name in MAIN and opened.names[name] and skip not in ("div", "section"):
                 skip = ""
             else:
                 continue
@@ -194,38 +290,30 @@ def lines_of(html: str) -> Lines:
                 continue
         if name in BLOCKS or name == "br":
             link = 0
-            out.end(mains > 0)
+            out.end(roles["main"] > 0)
         elif name in CELLS:
-            out.add(" ", True, place())
+            out.add(" ", True, opened.place())
         if closing:
-            for n in range(len(stack) - 1, -1, -1):
-                if stack[n][0] == name:
-                    pop(n)
-                    break
+            opened.close(name)
             continue
         if name in VOID:
             continue
         if name in BLOCKS or name in CELLS:
-            while stack and name in CLOSED_BY.get(stack[-1][0], ()):
-                pop(len(stack) - 1)
+            while opened.stack and name in CLOSED_BY.get(opened.stack[-1][0], ()):
+                opened.pop()
         kind = role(name, attrs)
         if kind == "bad" and not attrs.rstrip().endswith("/"):
             skip, depth = name, 1
             link = 0
-            if not mains and name in BLOCKS:
+            if not roles["main"] and name in BLOCKS:
                 out.end(False)
                 out.gap()
             continue
         if name in BLOCKS or kind:
-            stack.append((name, kind))
-            places.append(-1 if name in LEAVES else at)
-            mains += kind == "main"
-            headers += kind == "header"
-            if kind == "header" and not mains:
+            opened.push(name, kind)
+            if kind == "header" and not roles["main"]:
                 out.gap()
-    if at < len(html) and not skip and not headers:
-        out.add(html[at:], link > 0, place())
-    out.end(mains > 0)
+    out.end(roles["main"] > 0)
     return out
 
 
@@ -248,18 +336,23 @@ def runs(weight: list[int], least: int, window: int) -> list[int]:
     return out
 
 
+def highest(weight: list[int], window: int) -> int:
+    total = [0, *accumulate(weight)]
+    return max((total[min(len(weight), i + window)] - total[i] for i in range(len(weight))), default=0)
+
+
 def main_lines(page: Lines, window: int = WINDOW, threshold: int = THRESHOLD) -> list[str]:
     """Lines between surge and dive points of the windowed lengths."""
-    if not any(page.marked):
-        total = [0, *accumulate(page.weight)]
-        peak = max((total[min(len(page.weight), i + window)] - total[i] for i in range(len(page.weight))), default=0)
-        return [page.text[k] for k in runs(page.weight, min(threshold, peak), window) if page.text[k]]
-    inside = [k for k, (w, m) in enumerate(zip(page.weight, page.marked, strict=True)) if w and m]
+    inside = [w + MARK if m and w else 0 for w, m in zip(page.weight, page.marked, strict=True)]
     rest = [0 if m else w for w, m in zip(page.weight, page.marked, strict=True)]
-    outside = [k for k in runs(rest, window * threshold, window) if page.text[k] and not page.marked[k]]
-    if sum(rest[k] for k in outside) <= sum(page.weight[k] for k in inside):
-        outside = []
-    return [page.text[k] for k in sorted(inside + outside)]
+    if any(page.marked):
+        kept = [k for k in runs(inside, min(threshold, highest(inside, window)), window) if page.marked[k]]
+        others = [k for k in runs(rest, window * threshold, window) if page.text[k] and not page.marked[k]]
+        if sum(rest[k] for k in others) > sum(w for w, m in zip(page.weight, page.marked, strict=True) if m):
+            kept += others
+    else:
+        kept = [k for k in runs(rest, min(threshold, highest(rest, window)), window) if page.text[k]]
+    return [page.text[k] for k in sorted(kept)]
 
 
 def main_text(html: str | None) -> str:

@@ -80,6 +80,39 @@ def test_surge_and_dive():
     assert block_distribution.main_lines(page) == ["a" * 60, "b" * 60, "short"]
 
 
+def test_main_text_without_marks(spark):
+    """Surge and dive points alone find the same text where no element marks the article."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    for r in pages:
+        plain = re.sub(r"<(/?)article\b", r"<\1div", r.html)
+        assert "<article" in r.html and block_distribution.main_text(plain) == block_distribution.main_text(r.html)
+
+
+LARGE = {
+    "tags that do not end": "<a " * 350_000,
+    "names that do not end": "<a" * 500_000,
+    "nesting": "<div>x" * 170_000,
+    "closing tags of nothing": "<div>" * 60_000 + "</b>x" * 140_000,
+    "quotes that do not end": "<a b=\"x>' " * 90_000,
+    "quoted ends": "<p title='a>b'>x" * 60_000 + "'",
+    "comments that do not end": "<!-- x " * 140_000 + "<",
+    "headings": "<header><h1>x" * 70_000,
+    "menus": "<nav><nav></ul>" * 60_000,
+    "one line": "word " * 200_000,
+    "lines": "<p>word" * 140_000,
+    "links": "<a href=x>y</a>" * 66_000,
+}
+
+
+@pytest.mark.parametrize("name", LARGE)
+def test_large_pages_take_time_in_proportion(name):
+    import time
+
+    began = time.process_time()
+    block_distribution.main_text(LARGE[name])
+    assert time.process_time() - began < 8  # a megabyte; a quadratic pass takes minutes
+
+
 def test_a_marked_teaser_does_not_hide_the_text():
     body = [f"Paragraph {i} of the text that readers came for, which goes on for more than one hundred characters, as main text does." for i in range(5)]
     teaser = "<article><h3>Another story</h3><p>Short.</p></article>"
