@@ -8,9 +8,13 @@ fits are judged by the mined rules, found through an inverted index from a token
 it; of those that fit, the one with the highest confidence, then support, then the smallest tokens
 wins. Where none fits, the URL is allowed.
 
-Scale: mining is distributed; a task sees conditional transactions of its share of the tokens. Sets of
-at most `width` tokens with at least `support` of all rows number at most (tokens of a URL / support) **
-width whatever the rows, and that times a rule's size bounds what comes to the driver and goes out again.
+Scale: FP-growth enumerates frequent sets of every size, and a path of 30 tokens that a tenth of all URLs share
+has a billion of them. So tokens below the support are left out first, and a URL of more than LONG tokens that
+remain is mined as several transactions: its tokens are cut into groups, and each `width` of the groups are a
+transaction, so that any set of up to `width` tokens is whole in one. The sets found are candidates, none is
+missing, and all are counted over the URLs themselves. A URL of m frequent tokens makes (m / LONG * width) **
+width / 6 transactions. Frequent tokens number at most (tokens of a URL / support), frequent sets of up to
+`width` tokens that ** width, whatever the rows; that bounds what comes to the driver and goes out again.
 
 Defined results: a null URL, or one without "://", has an empty host and path, fits no rule and is
 allowed; a URL that several given rules fit takes the longest; repeated rows count as often as they
@@ -19,9 +23,12 @@ occur and get a row each; an empty table gives no rows; other columns do not mat
 
 from __future__ import annotations
 
-from collections import defaultdict
+import json
+import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, combinations
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -36,6 +43,8 @@ BLOCK, ALLOW = "block", "allow"
 RULES = {"net/": BLOCK, "example.net/en/": ALLOW, "example.com/de/": BLOCK, "org/fr/": ALLOW}
 LABEL = "verdict:"
 SUPPORT, CONFIDENCE, WIDTH, KNOWN = 0.005, 0.9, 3, 0.5
+#: Tokens of a transaction.
+LONG = 12
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -67,12 +76,17 @@ class Given:
             host, slash, path = rule.partition("/")
             self.by_host[host].append((slash + path, rule))
 
+        self.lengths = sorted({len(h) for h in self.by_host})
+
     def fit(self, host: str, path: str) -> str | None:
-        labels, found = host.split("."), None
-        for n in range(len(labels)):
-            for start, rule in self.by_host.get(".".join(labels[n:]), ()):
-                if path.startswith(start) and (found is None or (len(rule), rule) > (len(found), found)):
-                    found = rule
+        found = None
+        for n in self.lengths:
+            if n > len(host):
+                break
+            if n == len(host) or n and host[-n - 1] == ".":
+                for start, rule in self.by_host.get(host[len(host) - n :], ()):
+                    if path.startswith(start) and (found is None or (len(rule), rule) > (len(found), found)):
+                        found = rule
         return found
 
 
@@ -96,12 +110,16 @@ class Index:
             for t in r.tokens:
                 self.at[t].append(i)
 
-    def best(self, found: list[str]) -> Mined | None:
+    def fitting(self, found: list[str]) -> list[int]:
+        """The rules that a URL of these tokens fits."""
         hits: dict[int, int] = defaultdict(int)
         for t in found:
             for i in self.at.get(t, ()):
                 hits[i] += 1
-        full = [i for i, n in hits.items() if n == len(self.rules[i].tokens)]
+        return [i for i, n in hits.items() if n == len(self.rules[i].tokens)]
+
+    def best(self, found: list[str]) -> Mined | None:
+        full = self.fitting(found)
         return self.rules[min(full)] if full else None
 
 
@@ -122,20 +140,55 @@ def prepared(pages: DataFrame, keys: list[str], url: str, rules: dict[str, str])
 
 def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, width: int = WIDTH, known: float = KNOWN) -> list[Mined]:
     """Rules from rows of tokens and a verdict (null: not labelled): sets of two tokens or more."""
-    marks = F.array(F.concat(F.lit(LABEL), "verdict"), F.lit(LABEL))
-    items = labelled.select(F.when(F.col("verdict").isNull(), F.col("tokens")).otherwise(F.concat("tokens", marks)).alias("items"))
-    total = items.count()
+    total = labelled.count()
     if not total:
         return []
-    frequent = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items).freqItemsets
-    signs = F.filter("items", lambda x: x.startswith(LABEL))
-    sets = frequent.where(F.size(signs) <= 1).select(F.sort_array(F.filter("items", lambda x: ~x.startswith(LABEL))).alias("set"), F.get(signs, F.lit(0)).alias("sign"), "freq")
-    sets = sets.where(F.size("set").between(2, width))
-    all_, any_ = (sets.where(c).select("set", F.col("freq").alias(n)) for c, n in ((F.col("sign").isNull(), "n_all"), (F.col("sign") == LABEL, "n_labelled")))
-    held = sets.where(F.col("sign").isNotNull() & (F.col("sign") != LABEL)).join(any_, "set").join(all_, "set")
-    sure = F.col("freq") / F.col("n_labelled")
-    kept = held.where((sure >= confidence) & (F.col("n_labelled") >= known * F.col("n_all"))).select("set", "sign", "freq", sure.alias("sure"))
-    return sorted(Mined(-r["sure"], -r["freq"] / total, tuple(r["set"]), r["sign"].removeprefix(LABEL)) for r in kept.collect())
+    least = max(1, math.ceil(support * total - 1e-9))
+    counts = labelled.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    often = [r["t"] for r in counts.collect()]  # at most (tokens of a URL / support)
+    kept = F.sort_array(F.array_intersect("tokens", F.from_json(F.lit(json.dumps(often)), "array<string>")))
+    rows = labelled.select(kept.alias("tokens"), "verdict").where(F.size("tokens") >= 2)
+    parts = written(arrow_map(rows, lambda batches: transactions(batches, width), "items array<string>"), "transactions")
+    n = parts.count()
+    if not n:
+        return []
+    frequent = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=confidence).fit(parts).freqItemsets
+    sign = F.get(F.filter("items", lambda x: x.startswith(LABEL)), F.lit(0))
+    sets = frequent.select(F.sort_array(F.filter("items", lambda x: ~x.startswith(LABEL))).alias("set"), sign.alias("sign"))
+    found = sets.where(F.col("sign").isNotNull() & F.size("set").between(2, width)).select("set").distinct().collect()
+    candidates = Index([Mined(0.0, 0.0, tuple(r["set"]), "") for r in found])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[tuple[int, str | None]] = Counter()
+        for b in batches:
+            for t, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held.update((i, v) for i in candidates.fitting(t))
+        columns = [[i for i, _ in held], [v for _, v in held], list(held.values())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.string(), pa.int64()), strict=True)], ["i", "v", "n"])
+
+    by: dict[int, dict[str | None, int]] = defaultdict(dict)
+    for r in arrow_map(rows, counted, "i int, v string, n bigint").groupBy("i", "v").agg(F.sum("n").alias("n")).collect():
+        by[r["i"]][r["v"]] = r["n"]
+    out = []
+    for i, held in by.items():
+        labels = {v: k for v, k in held.items() if v is not None}
+        for v, k in labels.items():
+            if k >= least and k >= confidence * sum(labels.values()) and sum(labels.values()) >= known * sum(held.values()):
+                out.append(Mined(-k / sum(labels.values()), -k / total, candidates.rules[i].tokens, v))
+    return sorted(out)
+
+
+def transactions(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (tokens, verdict), the tokens and marks of the verdict as transactions of at most LONG tokens, or width."""
+    size = max(1, LONG // width)
+    for b in batches:
+        out = []
+        for t, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            marks = [LABEL + v] if v is not None else []
+            groups = [t[i : i + size] for i in range(0, len(t), size)]
+            cut = [groups] if len(t) <= LONG else combinations(groups, width)
+            out += [[*chain.from_iterable(some), *marks] for some in cut]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], ["items"])
 
 
 def judged(pages: DataFrame, keys: list[str], url: str = "url", rules: dict[str, str] | None = None, labels: DataFrame | None = None, **mining) -> DataFrame:

@@ -401,6 +401,64 @@ def test_mining_matches_counting(spark):
     assert index.best(["a", "b"]).verdict == "allow" and index.best(["a"]) is None
 
 
+def plain_tokens(url, host, path):
+    """Host labels, words of the path, and names of the query."""
+
+    def of(kind, text):
+        parts = [x for x in re.split(r"[^\w-]+|_", text.lower()) if x]
+        return [kind + ("#" if re.fullmatch("[0-9]+", x) else x) for x in parts]
+
+    query = re.search(r"\?([^#]*)", url or "")
+    names = [x.split("=")[0] for x in query[1].split("&") if x] if query else []
+    return list(dict.fromkeys([*of("host:", host), *of("path:", path), *("query:" + x for x in names)]))
+
+
+def plain_rules(rows, support=0.005, confidence=0.9, width=3, known=0.5):
+    """Rules by counting every set of two tokens up to width."""
+    from itertools import combinations
+
+    by = {}
+    for t, v in rows:
+        for n in range(2, width + 1):
+            for x in combinations(sorted(t), n):
+                by.setdefault(x, Counter())[v] += 1
+    out = []
+    for x, held in by.items():
+        labelled = sum(n for v, n in held.items() if v)
+        out += [(-n / labelled, -n / len(rows), x, v) for v, n in held.items() if v and n >= math.ceil(support * len(rows) - 1e-9) and n >= confidence * labelled and labelled >= known * held.total()]
+    return sorted(out)
+
+
+def test_verdicts_match_counting(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url").collect()
+    rows = [(r.page_id, r.url) for r in rows] + [(9000 + i, f"https://ads{i % 3}.promo.shop/buy/now?ref={i}&deal=1") for i in range(60)] + [(9500 + i, f"http://x{i}.promo.net/buy/{i}?deal=2") for i in range(60)]
+    judged = [(i, *given(u)) for i, u in rows]
+    told = [(plain_tokens(u, h, p), url_rules.RULES[r] if r else None) for (_, u), (_, h, p, r) in zip(rows, judged, strict=True)]
+    rules = plain_rules(told)
+    want = {i: url_rules.RULES[r] if r else next((v for _, _, x, v in rules if set(x) <= set(t)), "allow") for (i, _, _, r), (t, _) in zip(judged, told, strict=True)}
+    got = url_rules.op6_url_rules(spark.createDataFrame(rows, "page_id long, url string")).collect()
+    assert {r.page_id: r.verdict for r in got} == want
+    assert any(r is None and want[i] == "block" for i, _, _, r in judged)
+
+
+def test_long_common_paths_are_mined(spark):
+    """A path of 30 tokens in a tenth of the URLs, and rules of three of its tokens among them."""
+    path = [f"t{i:02d}" for i in range(30)]
+    rows = [([*path, f"own{i}"], "block" if i % 10 else None) for i in range(40)] + [([f"a{i % 7}", f"b{i % 5}", f"c{i}"], "allow") for i in range(360)]
+    found = url_rules.mined(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05)
+    want = plain_rules([([x for x in t if not x.startswith(("own", "c"))], v) for t, v in rows], 0.05)
+    assert [(m.less_confidence, m.less_support, m.tokens, m.verdict) for m in found] == want and len(want) == 4495
+
+
+def test_long_hosts():
+    import time
+
+    began = time.process_time()
+    assert url_rules.Given(url_rules.RULES).fit("a." * 400_000 + "net", "/") == "net/"
+    assert url_rules.Given(url_rules.RULES).fit("a." * 400_000 + "net.x", "/") is None
+    assert time.process_time() - began < 1
+
+
 # 7
 
 
