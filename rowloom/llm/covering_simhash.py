@@ -23,7 +23,8 @@ goes by the hash, but shingles that COMMON documents have come late; they are co
 those of the lowest LOW of the hashes, where the first elements are. Texts of different components that share a
 first element are compared through hubs: each round the next few of those that share it are compared with all
 others, linked, and leave; what has become one component leaves as well. So a crowd of copies costs one
-comparison each, and no group is gathered anywhere.
+comparison each, and no group is gathered anywhere. The parity of the hashes in each of PARITY classes bounds
+from below in how many elements two sets differ; sets are compared only where that leaves them similar.
 
 Defined results: null and empty texts have the fingerprint zero and are linked like any other; a null
 id takes part, but never names a component (component_id is null only if no member has an id); repeated
@@ -53,8 +54,10 @@ LIMIT = 4096
 BROADCAST_ROWS = 100_000
 #: The share of the hashes whose shingles are counted, and from how many documents on they are common.
 LOW, COMMON = 0.3, 32
-#: How many of those that share a shingle are compared with the others in the first round, and times how many in the next.
-HUBS, MORE = 1, 4
+#: How many of those that share a shingle are compared with the others in the first round and in the second (all, where it
+#: is not common), and times how many in each one after that.
+HUBS, NEXT, MORE = 1, COMMON, 8
+PARITY = 1024
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -117,28 +120,31 @@ def prefix_length(n: int, similarity: float) -> int:
 
 
 def shingled(docs: DataFrame, key: str, text: str, width: int, similarity: float) -> DataFrame:
-    """(key, one, two, n, fp, low, high) of each text's set of shingles.
+    """(key, one, two, n, fp, bits, low, high) of each text's set of shingles.
 
-    Two hashes of the set, its size and fingerprint, its lowest hashes, and as many others as the first elements need.
+    Two hashes of the set, its size, fingerprint and parities, its lowest hashes, and as many others as the first
+    elements need.
     """
     bar = np.uint64(int(LOW * 2**64))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            heads, low, high = [], [], []
+            heads, bits, low, high = [], [], [], []
             for t in b.column(1):
                 own = shingle_set(words_of(t.as_py()), width).view(np.uint64)
                 cut, data = int(np.searchsorted(own, bar)), own.tobytes()
                 parts = (own[i : i + CHUNK].astype(">u8") for i in range(0, len(own), CHUNK))
                 heads.append((xxhash.xxh64_intdigest(data, 42), xxhash.xxh64_intdigest(data, 7), len(own), majority(parts)))
+                odd = np.bincount((own % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 low.append(own[:cut].view(np.int64))
                 high.append(own[cut : max(cut, prefix_length(len(own), similarity))].view(np.int64))
             one, two, n, fp = (pa.array(x.view(np.int64)) for x in np.array(heads, np.uint64).reshape(-1, 4).T.copy())
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), one, two, n, fp, pa.array(low, longs), pa.array(high, longs)], [key, "one", "two", "n", "fp", "low", "high"])
+            yield pa.RecordBatch.from_arrays([b.column(0), one, two, n, fp, *(pa.array(x, longs) for x in (bits, low, high))], [key, "one", "two", "n", "fp", "bits", "low", "high"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return arrow_map(docs.select(key, text), each, f"`{key}` {kind}, one bigint, two bigint, n bigint, fp bigint, low array<bigint>, high array<bigint>")
+    return arrow_map(docs.select(key, text), each, f"`{key}` {kind}, one bigint, two bigint, n bigint, fp bigint, bits array<bigint>, low array<bigint>, high array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, keys: list[str], text: str, width: int) -> DataFrame:
@@ -223,9 +229,12 @@ def met(hot: DataFrame, masks: list[int], radius: int) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60, keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """(node, root): the smallest node of its component, for each node of an edge (a, b) but the smallest ones."""
-    now = keep(edges.select("a", "b"), "edges")
-    before = None
+    now = keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
     for _ in range(rounds):
+        # done, if each larger end has one edge and is nowhere the smaller end
+        ends = now.select(F.col("b").alias("u"), F.lit(1).alias("large"), F.lit(0).alias("small")).union(now.select("a", F.lit(0), F.lit(1)))
+        if ends.groupBy("u").agg(F.sum("large").alias("n"), F.max("small").alias("s")).where("n + s > 1 and n > 0").isEmpty():
+            return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
         both = now.union(now.select(F.col("b"), F.col("a"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -233,10 +242,6 @@ def components(edges: DataFrame, rounds: int = 60, keep: Callable[[DataFrame, st
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         stars = large.join(lowest, "u").select(F.col("v").alias("u"), "m").union(lowest.select("u", "m")).where(F.col("u") != F.col("m")).distinct()
         now = keep(stars.select(F.col("m").alias("a"), F.col("u").alias("b")), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        before = state
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
@@ -278,31 +283,20 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-class Comparison:
-    """Jaccard coefficients of documents by id; sets of shingles are made once for each id that is compared."""
-
-    def __init__(self, docs: DataFrame, key: str, text: str, width: int, similarity: float, keep: Callable[[DataFrame, str], DataFrame]):
-        self.docs, self.key, self.text, self.width, self.similarity, self.keep = docs, key, text, width, similarity, keep
-        self.sets: DataFrame | None = None
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that are similar."""
-        pairs = self.keep(pairs, "pairs")
-        new = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        if self.sets is not None:
-            new = new.join(self.sets.select("id"), "id", "left_anti")
-        new = self.keep(new, "new")
-        texts = self.docs.select(F.col(self.key).alias("id"), F.col(self.text).alias("__text")).join(small(new), "id", "left_semi")
-        made = self.keep(shingle_sets(texts, ["id"], "__text", self.width), "sets")
-        self.sets = made if self.sets is None else self.sets.union(made)
-        a, b = (self.sets.select(F.col("id").alias(n), F.col("set").alias(f"set_{n}")) for n in ("a", "b"))
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        alike = both >= self.similarity * (F.size("set_a") + F.size("set_b") - both) - 1e-9
-        return self.keep(pairs.join(b, "b").join(a, "a").where(alike).select("a", "b").distinct(), "links")
+def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, width: int, similarity: float, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Those of the pairs (a, b) whose sets of shingles are similar; the sets of these documents only are made again."""
+    pairs = keep(pairs, "pairs")
+    ids = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "compared")
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("__text")).join(small(ids), "id", "left_semi")
+    sets = keep(shingle_sets(texts, ["id"], "__text", width), "sets")
+    a, b = (sets.select(F.col("id").alias(n), F.col("set").alias(f"set_{n}")) for n in ("a", "b"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    alike = both >= similarity * (F.size("set_a") + F.size("set_b") - both) - 1e-9
+    return keep(pairs.join(b, "b").join(a, "a").where(alike).select("a", "b").distinct(), "links")
 
 
 def first_elements(sets: DataFrame, similarity: float, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """(id, n, first) of sets (id, n, low, high): the first elements in the order that is the same for all."""
+    """(id, n, bits, first) of sets (id, n, bits, low, high): the first elements in the order that is the same for all."""
     lows = sets.select("id", F.explode("low").alias("x"))
     common = keep(lows.groupBy("x").agg(F.count("*").alias("docs")).where(F.col("docs") >= COMMON).select("x"), "common")
     own = lows.join(small(common), "x", "left_semi").groupBy("id").agg(F.collect_set("x").alias("late"))
@@ -311,7 +305,7 @@ def first_elements(sets: DataFrame, similarity: float, keep: Callable[[DataFrame
     late = F.array_intersect("low", "late")
     order = F.when(F.size("late") == 0, F.concat("low", "high")).otherwise(F.concat(F.array_except("low", "late"), late, "high"))
     length = F.when(F.col("n") > 0, F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1).otherwise(0).cast("int")
-    return found.select("id", "n", F.slice(order, F.lit(1), length).alias("first"))
+    return found.select("id", "n", "bits", F.slice(order, F.lit(1), length).alias("first"))
 
 
 def crossing(rows: DataFrame) -> DataFrame:
@@ -320,23 +314,23 @@ def crossing(rows: DataFrame) -> DataFrame:
     return rows.join(shared, "x", "left_semi")
 
 
-def candidates(rows: DataFrame, hubs: DataFrame, similarity: float) -> DataFrame:
+def candidates(rows: DataFrame, hubs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs of a row and a hub that share an x, are of different components, and may be similar.
 
     Sizes must be near enough, and what stands after the shared element in both must be enough; that is tested as if
-    it were the first one that they share, since another row pair has that one.
+    it were the first one that they share, since another row pair has that one. And the parities must not differ in
+    more places than similar sets of these sizes differ in elements.
     """
     r, h = rows.alias("r"), hubs.alias("h")
     sizes = F.least("r.n", "h.n") >= F.lit(similarity) * F.greatest("r.n", "h.n") - 1e-9
     rest = F.least(F.col("r.n") - F.col("r.pos"), F.col("h.n") - F.col("h.pos"))
     enough = rest >= F.lit(similarity / (1 + similarity)) * (F.col("r.n") + F.col("h.n")) - 1e-9
     met = r.join(h, (F.col("r.x") == F.col("h.x")) & (F.col("r.c") != F.col("h.c")) & sizes & enough)
-    return met.select(F.least("r.id", "h.id").alias("a"), F.greatest("r.id", "h.id").alias("b")).distinct()
-
-
-def labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """rows with c, the component of their id."""
-    return rows.join(small(comps).withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
+    pairs = met.select(F.least("r.id", "h.id").alias("a"), F.greatest("r.id", "h.id").alias("b")).distinct()
+    a, b = (bits.select(F.col("id").alias(n), F.col("n").alias(f"n_{n}"), F.col("bits").alias(f"bits_{n}")) for n in ("a", "b"))
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    few = differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-9
+    return pairs.join(a, "a").join(b, "b").where(few).select("a", "b").distinct()
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3, limit: int = LIMIT) -> DataFrame:
@@ -350,29 +344,36 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         base = keep(shingled(named, key, text, width, similarity), "shingles")
         nodes = keep(base.groupBy("one", "two").agg(F.min(key).alias("id"), F.min("fp").alias("fp")), "nodes")
         follow = base.select(key).join(nodes.select(F.col("id").alias(key)), key, "left_anti").distinct()
-        sets = base.join(small(follow), key, "left_anti").select(F.col(key).alias("id"), "n", "low", "high")
-        compare = Comparison(named, key, text, width, similarity, keep)
+        sets = base.join(small(follow), key, "left_anti").select(F.col(key).alias("id"), "n", "bits", "low", "high")
 
         # what the covering masks find
         least = keep(nodes.groupBy("fp").agg(F.min("id").alias("h")), "least")
         near = links(least.select("fp"), radius, limit, keep)
         ends = [least.select(F.col("fp").alias(n), F.col("h").alias(f"h{n}")) for n in ("a", "b")]
-        met = near.join(ends[0], "a").join(ends[1], "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+        close = near.join(ends[0], "a").join(ends[1], "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
         same = nodes.join(least, "fp").where(F.col("id") != F.col("h")).select(F.col("h").alias("a"), F.col("id").alias("b"))
-        edges = compare.links(met.union(same).distinct())
+        edges = confirmed(close.union(same).distinct(), named, key, text, width, similarity, keep)
         comps = components(edges, keep=keep)
 
         # and what remains
         first = keep(first_elements(sets, similarity, keep), "first")
-        rows = labelled(first, comps).select("id", "n", "c", F.posexplode("first").alias("pos", "x"))
+        bits = first.select("id", "n", "bits")
+
+        def labelled(rows: DataFrame) -> DataFrame:
+            """rows with c, the component of their id."""
+            return rows.join(small(comps).withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("root", "id")).drop("root")
+
+        rows = labelled(first).select("id", "n", "c", F.posexplode("first").alias("pos", "x"))
         rows, hubs = keep(crossing(rows), "rows"), HUBS
         while not rows.isEmpty():
             chosen = F.row_number().over(Window.partitionBy("x").orderBy("id"))
             some = keep(rows.withColumn("k", chosen).where(F.col("k") <= hubs).drop("k"), "hubs")
-            edges = edges.union(compare.links(candidates(rows, some, similarity)))
-            comps = components(edges, keep=keep)
+            found = confirmed(candidates(rows, some, bits, similarity), named, key, text, width, similarity, keep)
+            if not found.isEmpty():
+                edges = comps.select(F.col("root").alias("a"), F.col("node").alias("b")).union(found)
+                comps = components(edges, keep=keep)
             rest = rows.join(some.select("x", "id"), ["x", "id"], "left_anti").select("id", "n", "pos", "x")
-            rows, hubs = keep(crossing(labelled(rest, comps)), "rows"), hubs * MORE
+            rows, hubs = keep(crossing(labelled(rest)), "rows"), max(hubs * MORE, NEXT)
         stays = nodes.select("id").distinct().join(comps, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("__stays"))
         counted = base.groupBy(key).agg(F.count("*").alias("n"))
         return written(counted.join(stays, F.col(key) == F.col("__stays"), "left").select(key, F.col("__stays").isNotNull().alias("stays"), "n"), "ids")
