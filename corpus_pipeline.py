@@ -3,6 +3,13 @@
 Each stage takes the documents that the stage before it kept and returns the columns of documents; the
 last returns a digest of each document's token ids. Between stages the rows are written as Parquet to
 the shared folder and read again.
+
+Defined results, of every stage: a null text is the empty text (too short, so the first stage rejects it; the
+others take it as it comes); a null source is a source of its own for the line rules and belongs to the rest in
+the mixture; a null doc_id is kept by all stages, for near duplicates need a name to refer to; rows that are
+equal in all get the same verdict, and of rows with one doc_id one stays after near duplicates; texts of any
+length are taken whole; an empty table gives no rows; other columns are left out, and a column of COLUMNS that
+docs does not have is left out as well, if it is lang or n_chars.
 """
 
 from __future__ import annotations
@@ -17,19 +24,24 @@ from rowloom.llm._store import written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def own(docs: DataFrame) -> DataFrame:
+    """The columns of documents, in their order."""
+    return docs.select(*[c for c in COLUMNS if c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the line rules keep, without their boilerplate lines."""
-    return line_frequency.filtered(docs).select(*COLUMNS)
+    return own(line_frequency.filtered(own(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of documents whose sets of five-word shingles are similar to 0.8 or more."""
-    return covering_simhash.without_similar(docs).select(*COLUMNS)
+    """One of each group of documents whose sets of five-word shingles are similar to 0.8 or more, directly or through others."""
+    return own(covering_simhash.without_similar(own(docs)))
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated to the production weights and dealt over all partitions; a repeated document is a repeated row."""
-    return poisson_mix.mixed(docs).select(*COLUMNS)
+    return own(poisson_mix.mixed(own(docs)))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +58,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("token_ids", token_ids),
 ]
 
-#: The second stage's components are beyond SQL; tests hold the stages against brute force.
+#: The second stage's hashes and components are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
