@@ -9,8 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -57,22 +56,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return _write(df, new_path(df.sparkSession, name))
 
 
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """written() for tables that nothing reads after the block; they are deleted at its end."""
-    paths: list[str] = []
+class Scratch:
+    """written() for tables that nothing reads after the `with` block; they are deleted at its end, or by drop()."""
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        path = new_path(spark, name)
-        paths.append(path)
-        return _write(df, path)
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
 
-    try:
-        yield keep
-    finally:
-        for path in paths:
-            discard(spark, path)
-            _written.remove((spark, path))
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        out = _write(df, path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, table: DataFrame) -> None:
+        """Delete a table that has had its last reader."""
+        for kept in [x for x in self.tables if x[0] is table]:
+            self.tables.remove(kept)
+            discard(self.spark, kept[1])
+            _written.remove((self.spark, kept[1]))
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for table, _ in list(self.tables):
+            self.drop(table)
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -21,9 +21,9 @@ bits differ. So the covering masks find the close ones, each confirmed on the se
 finds the rest. In an order that is the same for all, similar sets share one of their first elements. The order
 goes by the hash, but shingles that COMMON documents have come late; they are counted over all documents among
 those of the lowest LOW of the hashes, where the first elements are. Texts of different components that share a
-first element are compared through hubs: each round the next few of those that share it are compared with all
-others, linked, and leave; what has become one component leaves as well. So a crowd of copies costs one
-comparison each, and no group is gathered anywhere. The parity of the hashes in each of PARITY classes bounds
+first element are compared, through hubs where they are many: each round the next few of those that share it are
+compared with all others, linked, and leave; what has become one component leaves as well. So a crowd of copies
+costs a few comparisons each, and no group is gathered anywhere. The parity of the hashes in each of PARITY classes bounds
 from below in how many elements two sets differ; sets are compared only where that leaves them similar.
 
 Defined results: null and empty texts have the fingerprint zero and are linked like any other; a null
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._store import arrow_map, scratch, with_fields, written
+from ._store import Scratch, arrow_map, with_fields, written
 
 BITS = 64
 CHUNK = 1 << 17
@@ -53,10 +53,10 @@ LIMIT = 4096
 #: Rows of a join's side up to which it is broadcast, after they were counted.
 BROADCAST_ROWS = 100_000
 #: The share of the hashes whose shingles are counted, and from how many documents on they are common.
-LOW, COMMON = 0.3, 32
-#: How many of those that share a shingle are compared with the others in the first round and in the second (all, where it
-#: is not common), and times how many in each one after that.
-HUBS, NEXT, MORE = 1, COMMON, 8
+LOW, COMMON = 0.4, 32
+#: Of more than COMMON documents that share a shingle, how many are compared with the others in the first round, and times
+#: how many in each one after that. Of fewer, all are compared at once.
+HUBS, MORE = 1, 4
 PARITY = 1024
 
 
@@ -249,7 +249,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     """(key, fp, component_id): component_id is the smallest key in the document's component."""
     base = written(fingerprints(docs, key, text, width), "prints")
     nodes = written(base.groupBy("fp").agg(F.min(key).alias("__least")), "nodes")
-    with scratch(docs.sparkSession) as keep:
+    with Scratch(docs.sparkSession) as keep:
         roots = written(components(links(nodes.select("fp"), radius, limit, keep), keep=keep), "roots")
     joined = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "__least", F.coalesce("root", "fp").alias("__root"))
     least = joined.where(F.col("__root").isNotNull()).groupBy("__root").agg(F.min("__least").alias("component_id"))
@@ -309,28 +309,42 @@ def first_elements(sets: DataFrame, similarity: float, keep: Callable[[DataFrame
 
 
 def crossing(rows: DataFrame) -> DataFrame:
-    """Rows (x, c, ...) of those x that rows of different components c have."""
-    shared = rows.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("x")
-    return rows.join(shared, "x", "left_semi")
+    """Rows (x, c, ...) of those x that rows of different components c have, with m, how many rows have the x."""
+    shared = rows.groupBy("x").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("x", "m")
+    return rows.join(shared, "x")
 
 
-def candidates(rows: DataFrame, hubs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of a row and a hub that share an x, are of different components, and may be similar.
+def near_parities(a: str, b: str, similarity: float) -> Column:
+    """Whether rows a and b have parities that differ in no more places than similar sets of these sizes do in elements."""
+    differ = sum(F.bit_count(F.get(f"{a}.bits", F.lit(i)).bitwiseXOR(F.get(f"{b}.bits", F.lit(i)))) for i in range(PARITY // 64))
+    return differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{a}.n") + F.col(f"{b}.n")) + 1e-9
+
+
+def met_at(rows: DataFrame, hubs: DataFrame, similarity: float) -> tuple[DataFrame, Column]:
+    """rows r and hubs h to be joined, and when such a pair shares an x, is of different components, and may be similar.
 
     Sizes must be near enough, and what stands after the shared element in both must be enough; that is tested as if
-    it were the first one that they share, since another row pair has that one. And the parities must not differ in
-    more places than similar sets of these sizes differ in elements.
+    it were the first one that they share, since another row pair has that one.
     """
-    r, h = rows.alias("r"), hubs.alias("h")
     sizes = F.least("r.n", "h.n") >= F.lit(similarity) * F.greatest("r.n", "h.n") - 1e-9
     rest = F.least(F.col("r.n") - F.col("r.pos"), F.col("h.n") - F.col("h.pos"))
     enough = rest >= F.lit(similarity / (1 + similarity)) * (F.col("r.n") + F.col("h.n")) - 1e-9
-    met = r.join(h, (F.col("r.x") == F.col("h.x")) & (F.col("r.c") != F.col("h.c")) & sizes & enough)
-    pairs = met.select(F.least("r.id", "h.id").alias("a"), F.greatest("r.id", "h.id").alias("b")).distinct()
-    a, b = (bits.select(F.col("id").alias(n), F.col("n").alias(f"n_{n}"), F.col("bits").alias(f"bits_{n}")) for n in ("a", "b"))
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    few = differ <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-9
-    return pairs.join(a, "a").join(b, "b").where(few).select("a", "b").distinct()
+    return rows.alias("r"), (F.col("r.x") == F.col("h.x")) & (F.col("h.id") < F.col("r.id")) & (F.col("r.c") != F.col("h.c")) & sizes & enough
+
+
+def candidates(few: DataFrame, crowd: DataFrame, hubs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of `few` rows, and of a row of the crowd and a hub, that share an x and may be similar.
+
+    Sets may only be as far apart as their parities. In the crowd that is tested where rows meet, so that what cannot be
+    similar is not written anywhere.
+    """
+    r, when = met_at(few, few, similarity)
+    pairs = r.join(few.alias("h"), when).select(F.col("h.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    a, b = (bits.select(F.col("id").alias(n), "n", "bits").alias(f"x{n}") for n in ("a", "b"))
+    near = pairs.join(a, "a").join(b, "b").where(near_parities("xa", "xb", similarity)).select("a", "b")
+    r, when = met_at(crowd.join(bits.select("id", "bits"), "id"), hubs, similarity)
+    others = r.join(hubs.alias("h"), when & near_parities("r", "h", similarity)).select(F.col("h.id").alias("a"), F.col("r.id").alias("b"))
+    return near.union(others).distinct()
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3, limit: int = LIMIT) -> DataFrame:
@@ -340,11 +354,12 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     `similarity`; the smallest key stays. A key that different texts share stands for all of them.
     """
     named = docs.where(F.col(key).isNotNull())
-    with scratch(docs.sparkSession) as keep:
+    with Scratch(docs.sparkSession) as keep:
         base = keep(shingled(named, key, text, width, similarity), "shingles")
         nodes = keep(base.groupBy("one", "two").agg(F.min(key).alias("id"), F.min("fp").alias("fp")), "nodes")
         follow = base.select(key).join(nodes.select(F.col("id").alias(key)), key, "left_anti").distinct()
         sets = base.join(small(follow), key, "left_anti").select(F.col(key).alias("id"), "n", "bits", "low", "high")
+        counted = keep(base.groupBy(key).agg(F.count("*").alias("n")), "counted")
 
         # what the covering masks find
         least = keep(nodes.groupBy("fp").agg(F.min("id").alias("h")), "least")
@@ -358,6 +373,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         # and what remains
         first = keep(first_elements(sets, similarity, keep), "first")
         bits = first.select("id", "n", "bits")
+        keep.drop(base)
 
         def labelled(rows: DataFrame) -> DataFrame:
             """rows with c, the component of their id."""
@@ -366,16 +382,16 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         rows = labelled(first).select("id", "n", "c", F.posexplode("first").alias("pos", "x"))
         rows, hubs = keep(crossing(rows), "rows"), HUBS
         while not rows.isEmpty():
-            chosen = F.row_number().over(Window.partitionBy("x").orderBy("id"))
-            some = keep(rows.withColumn("k", chosen).where(F.col("k") <= hubs).drop("k"), "hubs")
-            found = confirmed(candidates(rows, some, bits, similarity), named, key, text, width, similarity, keep)
+            few, crowd = rows.where(F.col("m") <= COMMON), rows.where(F.col("m") > COMMON)
+            least_ids = crowd.withColumn("k", F.row_number().over(Window.partitionBy("x").orderBy("id"))).where(F.col("k") <= hubs).drop("k")
+            some = keep(least_ids.join(bits.select("id", "bits"), "id"), "hubs")
+            found = confirmed(candidates(few, crowd, some, bits, similarity), named, key, text, width, similarity, keep)
             if not found.isEmpty():
                 edges = comps.select(F.col("root").alias("a"), F.col("node").alias("b")).union(found)
                 comps = components(edges, keep=keep)
-            rest = rows.join(some.select("x", "id"), ["x", "id"], "left_anti").select("id", "n", "pos", "x")
-            rows, hubs = keep(crossing(labelled(rest)), "rows"), max(hubs * MORE, NEXT)
+            rest = crowd.join(some.select("x", "id"), ["x", "id"], "left_anti").select("id", "n", "pos", "x")
+            rows, hubs = keep(crossing(labelled(rest)), "rows"), hubs * MORE
         stays = nodes.select("id").distinct().join(comps, F.col("id") == F.col("node"), "left_anti").select(F.col("id").alias("__stays"))
-        counted = base.groupBy(key).agg(F.count("*").alias("n"))
         return written(counted.join(stays, F.col(key) == F.col("__stays"), "left").select(key, F.col("__stays").isNotNull().alias("stays"), "n"), "ids")
 
 
