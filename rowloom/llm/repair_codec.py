@@ -49,7 +49,7 @@ LEAST = 4
 STEP = 8
 BUCKETS = 20
 #: Parts of texts whose ids a worker remembers in a generation; the one before it is kept as well.
-GENERATION = 200_000
+GENERATION = 400_000
 
 #: The tokenizer's pattern over letters below U+0180, for which its normalizer is str.lower.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
@@ -97,13 +97,16 @@ class WordIds(dict):
     def __missing__(self, part: str) -> bytes:
         data = self.old.get(part)
         if data is None:
-            if self.other(part):
+            if part.isascii() and part.isalpha():  # one word, as most are
+                data = array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+            elif self.other(part):
                 raise Foreign
-            words = self.words(part)
-            if len(words) != 1 or words[0] != part:
-                data = b"".join(map(self.__getitem__, words))
             else:
-                data = array("I", [t.id for t in self.model.tokenize(part if part.isascii() else "".join(map(self.letters, part.encode())))]).tobytes()
+                words = self.words(part)
+                if len(words) != 1 or words[0] != part:
+                    data = b"".join(map(self.__getitem__, words))
+                else:
+                    data = array("I", [t.id for t in self.model.tokenize("".join(map(self.letters, part.encode())))]).tobytes()
         if len(part) <= 64:
             if len(self) >= GENERATION:
                 self.old = dict(self)
@@ -128,14 +131,18 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def overlapping(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which of the places are every second pair in a run of one symbol, and so overlap the pair before."""
-    alike = np.flatnonzero(seq[at] == seq[at + 1])
+def overlapping(at: np.ndarray, after: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """Which of the places `at` are every second pair in a run of one symbol, and so overlap the pair before.
+
+    after: the place after each of them; alike: whether both have the same symbol.
+    """
     out = np.zeros(len(at), bool)
-    if len(alike):
-        order = np.arange(len(alike))
-        first = np.diff(at[alike], prepend=-2) != 1
-        out[alike[(order - np.maximum.accumulate(np.where(first, order, 0))) % 2 == 1]] = True
+    some = np.flatnonzero(alike)
+    if len(some):
+        order = np.arange(len(some))
+        first = np.ones(len(some), bool)
+        first[1:] = after[some[:-1]] != at[some[1:]]
+        out[some[(order - np.maximum.accumulate(np.where(first, order, 0))) % 2 == 1]] = True
     return out
 
 
@@ -144,31 +151,42 @@ def grammar(ids: np.ndarray, least: int = LEAST) -> tuple[int, np.ndarray, np.nd
 
     Levels of frequency go down by STEP to least. Pairs of a level are replaced round by round, also those that
     come up on the way, until none is as frequent. Counts of pairs only fall, but for pairs with a new symbol; so a
-    round looks at the places that were as frequent before and at the neighbours of new symbols alone.
+    round looks at the places that were as frequent before and at the neighbours of new symbols alone. Within a
+    level, places that are gone are stepped over; what remains moves together at its end.
     """
     base, n_rules = int(ids.max(initial=0)) + 1, 0
     seq, rules = ids.astype(np.uint32), []
     level = None
     while len(seq) > 1 and level != least:
+        n = len(seq)
         bucket = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKETS)
         full = np.bincount(bucket, minlength=1 << BUCKETS)
         level = max(least, (int(full.max()) if level is None else level) // STEP)
-        at = np.flatnonzero((full >= level)[bucket])
+        at = np.flatnonzero((full >= level)[bucket]).astype(np.int32)
+        following, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+        stay, again = np.ones(n, bool), np.zeros(n + 1, bool)
         while len(at):
-            second = overlapping(seq, at)
-            at, later = at[~second], at[second]
-            pairs, symbol, n = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_inverse=True, return_counts=True)
-            often = (n >= level)[symbol]
-            at, symbol = at[often], symbol[often]
+            after = following[at]
+            left, right = seq[at], seq[after]
+            second = overlapping(at, after, left == right)
+            later = at[second]
+            keep = ~second
+            if len(at) > 1 << 14:  # most new pairs are rare; those in buckets that are not full need no sorting
+                bucket = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKETS)
+                bucket[second] = 0
+                keep &= (np.bincount(bucket, minlength=1 << BUCKETS) >= level)[bucket]
+            at, after, left, right = (x[keep] for x in (at, after, left, right))
+            pairs, symbol, count = np.unique(left.astype(np.uint64) << np.uint64(32) | right, return_inverse=True, return_counts=True)
+            often = (count >= level)[symbol]
+            at, after, symbol = at[often], after[often], symbol[often]
             # of places that overlap the more frequent pair's is free, so all of the most frequent pair's are
-            mine, touch = n[symbol] << 32 | symbol, np.diff(at) == 1
+            mine, touch = count[symbol] << 32 | symbol, after[:-1] == at[1:]
             free = np.ones(len(at), bool)
             free[1:] &= ~touch | (mine[1:] > mine[:-1])
             free[:-1] &= ~touch | (mine[:-1] > mine[1:])
-            places, taken = at[free], symbol[free]
-            worth = np.bincount(taken, minlength=len(pairs)) >= least
-            keep = worth[taken]
-            places, taken = places[keep], taken[keep]
+            worth = np.bincount(symbol[free], minlength=len(pairs)) >= least
+            free &= worth[symbol]
+            places, gone = at[free], after[free]
             if not len(places):
                 break
             names = np.zeros(len(pairs), np.uint32)
@@ -176,13 +194,17 @@ def grammar(ids: np.ndarray, least: int = LEAST) -> tuple[int, np.ndarray, np.nd
             names[used] = base + n_rules + np.arange(len(used))
             rules.append(np.stack((pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)), axis=1).astype(np.uint32))
             n_rules += len(used)
-            seq[places] = names[taken]
-            again, stay = np.zeros(len(seq), bool), np.ones(len(seq), bool)
-            again[at] = again[later] = again[places] = again[places[places > 0] - 1] = True
-            stay[places + 1] = False
-            seq, again = seq[stay], again[stay]
-            again[-1] = False
-            at = np.flatnonzero(again)
+            seq[places] = names[symbol[free]]
+            stay[gone] = False
+            following[places] = following[gone]
+            before[following[places]] = places
+            # before[n] and again[n] belong to the place after the last one; so does index -1
+            again[at] = again[later] = again[places] = again[before[places]] = True
+            again[gone] = again[n] = False
+            at = np.flatnonzero(again).astype(np.int32)
+            again[at] = False
+            at = at[following[at] < n]
+        seq = seq[stay]
     return base, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), seq
 
 

@@ -19,7 +19,9 @@ no rows; columns of the input named like a result column are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -102,19 +104,26 @@ def sharded(
         place.append((*p, shard, slots[shard]))
         slots[shard] += k
         before += b
-    table = docs.sparkSession.createDataFrame(place, "__range int, __piece int, __part int, shard int, __first long")
+    table = small_table(docs.sparkSession, place, "__range int, __piece int, __part int, shard int, __first bigint")
     joined = pieces.join(F.broadcast(table), at)  # as many rows as pieces
     w = Window.partitionBy(*at).orderBy("__key", "__sub", "__row")
     return joined.select(*keep, "size", "text_crc32", "shard", (F.col("__first") + F.row_number().over(w) - 1).cast("long").alias("slot"))
 
 
+def small_table(spark: SparkSession, rows: list[tuple[int, ...]], schema: str) -> DataFrame:
+    """Rows of numbers as a literal of the plan."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(c.replace(' ', ': ') for c in schema.split(', '))}>>")))
+
+
 def divided(rows: DataFrame, at: list[str], name: str, by: Column, fair: float) -> DataFrame:
     """rows with the column name: a number by the hash `by` where rows of one `at` have more than 2 * fair bytes, else 0."""
     sizes = rows.groupBy(*at).agg(F.sum("size").alias("b")).where(F.col("b") > 2 * fair)
     large = [(*(r[c] for c in at), -(-int(r["b"]) // int(fair + 1))) for r in sizes.collect()]  # fewer than half the ranges
     if not large:
         return rows.withColumn(name, F.lit(0))
-    table = rows.sparkSession.createDataFrame(large, ", ".join(f"{c} int" for c in at) + ", __n long")
+    table = small_table(rows.sparkSession, large, ", ".join(f"{c} int" for c in at) + ", __n bigint")
     return rows.join(F.broadcast(table), at, "left").withColumn(name, F.pmod(by, F.coalesce("__n", F.lit(1))).cast("int")).drop("__n")
 
 
