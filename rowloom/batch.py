@@ -106,6 +106,9 @@ class Batch:
     def to_parquet(self, cap: int | None = None, trusted: bool = False) -> DataFrame:
         return columnar.parquet_batches(self._ready(trusted), self.schema, cap)
 
+    def to_record_batches(self, cap: int | None = None, trusted: bool = False) -> DataFrame:
+        return columnar.record_batches(self._ready(trusted), self.schema, cap)
+
     def to_arrow(self, identity: bool = False, trusted: bool = False) -> pa.Table:
         return columnar.to_arrow(self._ready(trusted), self.schema, identity)
 
@@ -121,4 +124,9 @@ class Batch:
         return compression.compressed(self.encode(trusted=trusted), cap, level)
 
 
-FORMS = {"binary": Batch.encode, "json": Batch.to_json, "csv": Batch.to_csv, "protobuf": Batch.to_protobuf, "arrow_ipc": Batch.to_ipc, "parquet": Batch.to_parquet}
+FORMS = {"binary": Batch.encode, "json": Batch.to_json, "csv": Batch.to_csv, "protobuf": Batch.to_protobuf, "arrow": Batch.to_record_batches, "arrow_ipc": Batch.to_ipc, "parquet": Batch.to_parquet}
+
+
+def convert(batches: DataFrame, schema: Schema, form: str, cap: int | None = None, trusted: bool = False) -> DataFrame:
+    """Encoded batches (batch_id, data) in another form, by its name; they are checked once, as they are read, unless trusted."""
+    return Batch.access(batches, schema, trusted).convert(form, cap, trusted=True)

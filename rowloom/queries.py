@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowloom.batch import Batch, convert
 from rowloom.functions import codes, presence, text
 from rowloom.operators import projection, sizes, validation
 from rowloom.sources import columnar, compression, envelope, evidence, rowtext, wire
@@ -380,6 +381,54 @@ def ipc_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return columnar.read_ipc(columnar.ipc_batches(events(spark, d), events_schema()), events_schema())
 
 
+# checked conversions, of events in key order
+
+
+@query("json_checked", f"""WITH {EV}, {ORDERED} SELECT batch_id, '{{"schema_version":1,"rows":[' || string_agg({JSON_ROW}, ',' ORDER BY pos) || ']}}' AS data FROM ordered GROUP BY batch_id""")
+def json_checked(spark: SparkSession, d: str) -> DataFrame:
+    return Batch(ordered(spark, d), events_schema()).to_json()
+
+
+@query("csv_checked", f"WITH {EV}, {ORDERED} SELECT batch_id, '{CSV_HEAD}' || chr(10) || string_agg({CSV_ROW} || chr(10), '' ORDER BY pos) AS data FROM ordered GROUP BY batch_id")
+def csv_checked(spark: SparkSession, d: str) -> DataFrame:
+    return Batch(ordered(spark, d), events_schema()).to_csv()
+
+
+@query("ipc_checked", f"WITH {EV}, {ORDERED} SELECT {EV_COLUMNS} FROM ordered")
+def ipc_checked(spark: SparkSession, d: str) -> DataFrame:
+    return columnar.read_ipc(Batch(ordered(spark, d), events_schema()).to_ipc(), events_schema())
+
+
+@query("arrow_checked", f"WITH {EV}, {ORDERED} SELECT {EV_COLUMNS} FROM ordered")
+def arrow_checked(spark: SparkSession, d: str) -> DataFrame:
+    return columnar.read_record_batches(Batch(ordered(spark, d), events_schema()).convert("arrow"), events_schema())
+
+
+@query("arrow_trusted", f"WITH {EV} SELECT {EV_COLUMNS} FROM ev")
+def arrow_trusted(spark: SparkSession, d: str) -> DataFrame:
+    return columnar.read_record_batches(Batch(events(spark, d), events_schema()).convert("arrow", trusted=True), events_schema())
+
+
+@query("parquet_checked", f"WITH {EV}, {ORDERED} SELECT {EV_COLUMNS} FROM ordered")
+def parquet_checked(spark: SparkSession, d: str) -> DataFrame:
+    return columnar.read_parquet_batches(Batch(ordered(spark, d), events_schema()).to_parquet(), events_schema())
+
+
+@query("parquet_trusted", f"WITH {EV} SELECT {EV_COLUMNS} FROM ev")
+def parquet_trusted(spark: SparkSession, d: str) -> DataFrame:
+    return columnar.read_parquet_batches(Batch(events(spark, d), events_schema()).to_parquet(trusted=True), events_schema())
+
+
+@query(
+    "convert_bytes",
+    f"WITH {EV}, {ORDERED}, b AS (SELECT batch_id, '{CSV_HEAD}' || chr(10) || string_agg({CSV_ROW} || chr(10), '' ORDER BY pos) AS data FROM ordered GROUP BY batch_id) SELECT batch_id, CASE WHEN strlen(data) <= 49000 THEN data END AS data, CASE WHEN strlen(data) > 49000 THEN 'ResponseTooLarge' END AS error_code FROM b",
+)
+def convert_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Encoded batches, read and converted by the name of the form, under a cap."""
+    s = events_schema()
+    return convert(envelope.encode(ordered(spark, d), s).select("batch_id", "data"), s, "csv", cap=49_000)
+
+
 @query("ipc_capped", f"WITH {EV} SELECT batch_id, CASE WHEN {COLUMNAR} > {CAP} THEN 'ResponseTooLarge' END AS error_code FROM ev GROUP BY batch_id HAVING {COLUMNAR} > {CAP}")
 def ipc_capped(spark: SparkSession, d: str) -> DataFrame:
     capped = columnar.ipc_batches(events(spark, d), events_schema(), cap=CAP)

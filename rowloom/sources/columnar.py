@@ -131,6 +131,11 @@ def parquet_batches(rows: DataFrame, schema: Schema, cap: int | None = None) ->
     return _encoded(rows, schema, write, cap)
 
 
+def record_batches(rows: DataFrame, schema: Schema, cap: int | None = None) -> DataFrame:
+    """(batch_id, data, error_code): one record batch for each batch, made where its rows are, as an encapsulated message."""
+    return _encoded(rows, schema, lambda batch: batch.serialize().to_pybytes(), cap)
+
+
 def write_parquet(rows: DataFrame, schema: Schema, path: str, *keep: str) -> None:
     """Rows as an uncompressed Parquet table under their dotted paths, in Spark's own types."""
     rows.select(*keep, *[F.col(f.column).alias(f.path) for f in schema.fields]).write.option("compression", "uncompressed").parquet(path)
@@ -154,17 +159,55 @@ def single_batch(data: bytes) -> pa.RecordBatch:
         raise BatchError("MalformedArchive", e) from None
     if len(found) != 1:
         raise BatchError("MalformedArchive", f"{len(found)} record batches")
-    return found[0]
+    return checked_batch(found[0])
+
+
+def checked_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch, if its offsets, lengths and texts are sound."""
+    try:
+        batch.validate(full=True)
+    except pa.ArrowInvalid as e:
+        raise BatchError("MalformedArchive", e) from None
+    return batch
 
 
 def read_ipc(batches: DataFrame, schema: Schema) -> DataFrame:
     """Physical rows with batch_id and pos of (batch_id, data), each an IPC stream of one record batch."""
+    return _read(batches, schema, single_batch)
+
+
+def read_record_batches(batches: DataFrame, schema: Schema) -> DataFrame:
+    """Physical rows of what record_batches wrote."""
+
+    def opened(data: bytes) -> pa.RecordBatch:
+        try:
+            return checked_batch(pa.ipc.read_record_batch(pa.py_buffer(data), arrow_schema(schema)))
+        except (pa.ArrowInvalid, OSError) as e:
+            raise BatchError("MalformedArchive", e) from None
+
+    return _read(batches, schema, opened)
+
+
+def read_parquet_batches(batches: DataFrame, schema: Schema) -> DataFrame:
+    """Physical rows of what parquet_batches wrote."""
+
+    def opened(data: bytes) -> pa.RecordBatch:
+        try:
+            table = pq.read_table(pa.BufferReader(data)).combine_chunks()
+        except (pa.ArrowInvalid, OSError) as e:
+            raise BatchError("MalformedArchive", e) from None
+        return pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns], schema=table.schema)
+
+    return _read(batches, schema, opened)
+
+
+def _read(batches: DataFrame, schema: Schema, opened) -> DataFrame:
     names = [f.column for f in schema.fields]
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             for i, data in enumerate(b.column(1).to_pylist()):
-                rb = single_batch(data)
+                rb = opened(data)
                 if rb.schema != arrow_schema(schema):
                     raise BatchError("SchemaHashMismatch", "columns of another schema")
                 columns = []

@@ -10,8 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -19,6 +19,13 @@ from pyspark.sql import types as T
 TOGETHER = 32 << 20
 
 
+def _changes(ids: pa.Array) -> np.ndarray:
+    """Where another id begins; null is an id like any other."""
+    a, b = ids[1:], ids[:-1]
+    other = pc.fill_null(pc.not_equal(a, b), pc.xor(pc.is_null(a), pc.is_null(b)))
+    return np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole batches, and where each batch begins (and the last one ends)."""
     whole: list[pa.RecordBatch] = []
@@ -27,9 +34,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
     for b in batches:
         if not len(b):
             continue
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        ends = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-        if open_ and open_[-1].column(0)[-1].as_py() != ids[0]:
+        ids = b.column(0)
+        ends = _changes(ids)
+        if open_ and open_[-1].column(0)[-1].as_py() != ids[0].as_py():
             whole, open_ = whole + open_, []
         if len(ends):
             whole, open_ = [*whole, *open_, b.slice(0, ends[-1])], [b.slice(ends[-1])]
@@ -45,15 +52,16 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
 
 def _cut(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray]:
     table = pa.Table.from_batches(held).combine_chunks()
-    ids = table.column(0).to_numpy()
-    return table, np.concatenate(([0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]))
+    ids = table.column(0).combine_chunks()
+    return table, np.concatenate(([0], _changes(ids), [len(ids)]))
 
 
 def per_batch(rows: DataFrame, make: Callable[[pa.Table, np.ndarray], dict[str, pa.Array]], fields: dict[str, T.DataType], dealt: bool = False) -> DataFrame:
     """(batch_id, *fields), a row for each batch: make gets a table of whole batches and their bounds.
 
     rows has batch_id, pos and what make needs. Batches are dealt by their id over the shuffle partitions,
-    a batch to one task: its rows are folded in order, which nothing can split. dealt says that the rows of
+    a batch to one task: its rows are folded in order, which nothing can split. Rows without a batch_id are a
+    batch of their own. dealt says that the rows of
     each batch are in one partition already, as they are after the window that checks the order of keys.
     """
 
@@ -64,7 +72,7 @@ def per_batch(rows: DataFrame, make: Callable[[pa.Table, np.ndarray], dict[str,
             yield pa.RecordBatch.from_arrays([ids, *(made[n] for n in fields)], ["batch_id", *fields])
 
     rest = [c for c in rows.columns if c not in ("batch_id", "pos")]
-    found = rows.select("batch_id", "pos", *rest).where(F.col("batch_id").isNotNull())
+    found = rows.select("batch_id", "pos", *rest)
     ordered = (found if dealt else found.repartition("batch_id")).sortWithinPartitions("batch_id", "pos")
     schema = T.StructType([rows.schema["batch_id"], *(T.StructField(n, k) for n, k in fields.items())])
     return ordered.mapInArrow(each, schema)

@@ -73,15 +73,14 @@ def csv_row(schema: Schema) -> Column:
 
 
 def _framed(rows: DataFrame, line: Column, head: str, between: str, tail: str, cap: int | None) -> DataFrame:
-    """One text per batch. Sizes are summed before lines are gathered, so a batch over the cap is never built."""
+    """One text per batch. Lines are made once; their sizes are summed beside, and a text over the cap is not put together."""
     lines = rows.select("batch_id", "pos", line.alias("line"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
     if cap is not None:
         size = F.sum(F.octet_length("line")) + F.lit(len(head.encode()) + len(tail.encode())) + (F.count("*") - (1 if between == "," else 0)) * len(between)
-        sizes = lines.groupBy("batch_id").agg(size.alias("n_bytes"))
-        small = sizes.where(F.col("n_bytes") <= cap).select("batch_id")
-        whole = _framed(lines.join(small, "batch_id", "left_semi").withColumnRenamed("line", "__line"), F.col("__line"), head, between, tail, None)
-        return sizes.join(whole, "batch_id", "left").select("batch_id", "data", F.when(F.col("n_bytes") > cap, F.lit("ResponseTooLarge")).alias("error_code"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+        each = lines.groupBy("batch_id").agg(size.alias("n_bytes"), ordered.alias("lines"))
+        data = F.when(F.col("n_bytes") <= cap, F.concat(F.lit(head), F.array_join("lines", between), F.lit(tail)))
+        return each.select("batch_id", data.alias("data"), F.when(F.col("n_bytes") > cap, F.lit("ResponseTooLarge")).alias("error_code"))
     body = F.array_join(ordered, between)
     return lines.groupBy("batch_id").agg(F.concat(F.lit(head), body, F.lit(tail)).alias("data"))
 

@@ -10,69 +10,81 @@ from pyspark.sql import functions as F
 from rowloom.functions import codes
 from rowloom.plans.model import Schema
 from rowloom.plans.proto import compile_schema
-from rowloom.plans.registry import declaration
 
 EVENT_BATCH = 500
 TYPES, STATES, TAGS = ("click", "error", "purchase", "signup", "view"), ("active", "idle", "offline"), ("indoor", "outdoor", "test")
 FLAGS, LINE_STATES = ("A", "N", "R"), ("F", "O")
 ORDER_STATES, PRIORITIES = ("F", "O", "P"), ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
-EVENTS = declaration(
-    "tables.events.v1",
-    60001,
-    "tables.events.v1",
-    "EventsV1",
-    "EventRowV1",
-    {"device": " ".join(TYPES), "status": " ".join(STATES), "tag": " ".join(TAGS)},
-    {
-        "EventRowV1": """
-            schema_version const 1
-            device dict device key 1
-            recorded_at_ms i64 key 2
-            recorded_at_utc utc recorded_at_ms
-            temperature_c f64
-            battery_percent f64 bit 0
-            status dict status
-            tags mask tag
-        """
-    },
-    [{"name": "temperature_only", "rust_marker": "EventsV1TemperatureOnly", "include_field": "temperature_c"}],
-)
-
-LINES = declaration(
-    "tables.lines.v1",
-    60002,
-    "tables.lines.v1",
-    "LinesV1",
-    "LineRowV1",
-    {"flag": " ".join(FLAGS), "state": " ".join(LINE_STATES)},
-    {
-        "LineRowV1": """
-            schema_version const 1
-            flag dict flag key 1
-            state dict state key 2
-            shipped_at_ms i64 key 3
-            shipped_at_utc utc shipped_at_ms
-            quantity f64
-            price f64
-            discount f64 bit 0 group optional
-            tax f64 bit 1 group optional
-            metadata LineKeysV1 group metadata
-            line_number i32
-        """,
-        "LineKeysV1": """
-            order_key i64
-            part_key i64
-            supplier_key i64 bit 2
-        """,
-    },
-    [
-        {"name": "without_details", "rust_marker": "LinesV1WithoutDetails", "exclude_group": "metadata"},
-        {"name": "values_only", "rust_marker": "LinesV1ValuesOnly", "include_field": "quantity price"},
-        {"name": "numeric_only", "rust_marker": "LinesV1NumericOnly", "include_field": "quantity price tax supplier_key line_number"},
-        {"name": "no_optional", "rust_marker": "LinesV1NoOptional", "exclude_group": "optional", "exclude_field": "supplier_key"},
-    ],
-)
+EVENTS = """\
+syntax = "proto3";
+package tables.events.v1;
+option (o.dictionary_values) = { name: "device" value: "click" value: "error" value: "purchase" value: "signup" value: "view" };
+option (o.dictionary_values) = { name: "status" value: "active" value: "idle" value: "offline" };
+option (o.dictionary_values) = { name: "tag" value: "indoor" value: "outdoor" value: "test" };
+message EventsV1 {
+  option (o.schema_id) = 60001;
+  option (o.schema_version) = 1;
+  option (o.transport_name) = "tables.events.v1";
+  option (o.payload_root) = true;
+  option (o.projection) = { name: "temperature_only" rust_marker: "EventsV1TemperatureOnly" include_field: "temperature_c" };
+  uint32 schema_version = 1 [(o.const_u16) = 1];
+  repeated EventRowV1 rows = 2 [(o.repeated_payload) = true];
+}
+message EventRowV1 {
+  uint32 schema_version = 1 [(o.const_u16) = 1];
+  string device = 2 [(o.dictionary) = "device", (o.key_part) = true, (o.key_order) = 1];
+  int64 recorded_at_ms = 3 [(o.key_part) = true, (o.key_order) = 2];
+  string recorded_at_utc = 4 [(o.ignored) = true, (o.derived_utc_from) = "recorded_at_ms"];
+  double temperature_c = 5;
+  optional double battery_percent = 6 [(o.presence_bit) = 0];
+  string status = 7 [(o.dictionary) = "status"];
+  repeated string tags = 8 [(o.bitmask_dictionary) = "tag"];
+}
+"""
+
+LINES = """\
+syntax = "proto3";
+package tables.lines.v1;
+option (o.dictionary_values) = { name: "flag" value: "A" value: "N" value: "R" };
+option (o.dictionary_values) = { name: "state" value: "F" value: "O" };
+message LinesV1 {
+  option (o.schema_id) = 60002;
+  option (o.schema_version) = 1;
+  option (o.transport_name) = "tables.lines.v1";
+  option (o.payload_root) = true;
+  option (o.projection) = { name: "without_details" rust_marker: "LinesV1WithoutDetails" exclude_group: "metadata" };
+  option (o.projection) = { name: "values_only" rust_marker: "LinesV1ValuesOnly" include_field: "quantity" include_field: "price" };
+  option (o.projection) = { name: "numeric_only" rust_marker: "LinesV1NumericOnly"
+    include_field: "quantity"
+    include_field: "price"
+    include_field: "tax"
+    include_field: "supplier_key"
+    include_field: "line_number"
+  };
+  option (o.projection) = { name: "no_optional" rust_marker: "LinesV1NoOptional" exclude_group: "optional" exclude_field: "supplier_key" };
+  uint32 schema_version = 1 [(o.const_u16) = 1];
+  repeated LineRowV1 rows = 2 [(o.repeated_payload) = true];
+}
+message LineRowV1 {
+  uint32 schema_version = 1 [(o.const_u16) = 1];
+  string flag = 2 [(o.dictionary) = "flag", (o.key_part) = true, (o.key_order) = 1];
+  string state = 3 [(o.dictionary) = "state", (o.key_part) = true, (o.key_order) = 2];
+  int64 shipped_at_ms = 4 [(o.key_part) = true, (o.key_order) = 3];
+  string shipped_at_utc = 5 [(o.ignored) = true, (o.derived_utc_from) = "shipped_at_ms"];
+  double quantity = 6;
+  double price = 7;
+  optional double discount = 8 [(o.presence_bit) = 0, (o.projection_group) = "optional"];
+  optional double tax = 9 [(o.presence_bit) = 1, (o.projection_group) = "optional"];
+  LineKeysV1 metadata = 10 [(o.projection_group) = "metadata"];
+  int32 line_number = 11;
+}
+message LineKeysV1 {
+  int64 order_key = 1;
+  int64 part_key = 2;
+  optional int64 supplier_key = 3 [(o.presence_bit) = 2];
+}
+"""
 
 
 @lru_cache(maxsize=None)

@@ -84,7 +84,7 @@ def test_oracle_rows_through_every_form(spark):
     assert again.rows.orderBy("pos").collect() == b.rows.orderBy("pos").collect()
     small = b.project("temperature_only")
     assert [set(x) for x in json.loads(small.to_json().first().data)["rows"]] == [{"schema_version", "device", "recorded_at_ms", "recorded_at_utc", "temperature_c"}] * 3
-    assert set(FORMS) == {"binary", "json", "csv", "protobuf", "arrow_ipc", "parquet"}
+    assert set(FORMS) == {"binary", "json", "csv", "protobuf", "arrow", "arrow_ipc", "parquet"}
 
 
 def parsed(data: bytes) -> list[tuple[int, object]]:

@@ -6,7 +6,9 @@ from rowloom.batch import Batch
 from rowloom.functions import presence
 from rowloom.operators import projection, sizes, validation
 from rowloom.plans.proto import compile_schema
-from rowloom.plans.registry import declaration, schema
+from rowloom.plans.registry import schema
+
+from .notation import declaration
 
 IDS = ("batch_id", "pos")
 

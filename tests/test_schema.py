@@ -2,7 +2,9 @@ import pytest
 
 from rowloom.plans.errors import SchemaError
 from rowloom.plans.proto import compile_schema
-from rowloom.plans.registry import declaration, schema
+from rowloom.plans.registry import schema
+
+from .notation import declaration
 
 # Identities of the schemas and their projections.
 HASHES = {
