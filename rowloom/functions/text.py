@@ -57,7 +57,7 @@ def integer(value: Column) -> Column:
 
 
 def boolean(value: Column) -> Column:
-    return F.when(value, F.lit("true")).otherwise(F.lit("false"))
+    return F.when(value.isNotNull(), F.when(value, F.lit("true")).otherwise(F.lit("false")))
 
 
 def number(value: Column, single: bool = False) -> Column:

@@ -47,8 +47,8 @@ def capped(sizes: DataFrame, column: str, cap: int) -> DataFrame:
     return sizes.withColumn("error_code", F.when(F.col(column) > cap, F.lit("ResponseTooLarge")))
 
 
-def offset_overflow(rows: DataFrame, schema: Schema) -> DataFrame:
-    """(batch_id, field) of columns of varying width whose offsets pass 31 bits."""
+def offset_overflow(rows: DataFrame, schema: Schema, limit: int = OFFSET_LIMIT) -> DataFrame:
+    """(batch_id, field) of columns of varying width whose offsets pass the limit, 31 bits."""
     sums = [(f, F.sum(F.size(f.column) if f.element else F.octet_length(f.column))) for f in schema.fields if not f.fixed]
-    found = F.array_compact(F.array(*[F.when(s > OFFSET_LIMIT, F.lit(f.path)) for f, s in sums])) if sums else F.array().cast("array<string>")
+    found = F.array_compact(F.array(*[F.when(s > limit, F.lit(f.path)) for f, s in sums])) if sums else F.array().cast("array<string>")
     return rows.groupBy("batch_id").agg(found.alias("fields")).select("batch_id", F.explode("fields").alias("field"))

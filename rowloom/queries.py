@@ -11,7 +11,7 @@ from rowloom.batch import Batch, convert
 from rowloom.functions import codes, presence, text
 from rowloom.operators import projection, sizes, validation
 from rowloom.sources import columnar, compression, envelope, evidence, rowtext, wire
-from rowloom.tables import LINE_STATES, ORDER_STATES, PRIORITIES, STATES, TAGS, TYPES, events, events_schema, lines, lines_schema
+from rowloom.tables import LANGS, LINE_STATES, ORDER_STATES, PRIORITIES, STATES, TAGS, TYPES, events, events_schema, lines, lines_schema, notes, notes_schema
 
 Query = Callable[[SparkSession, str], DataFrame]
 IDS = ("batch_id", "pos")
@@ -281,9 +281,63 @@ def cap_check(spark: SparkSession, d: str) -> DataFrame:
     return sizes.capped(sizes.columnar_size(lines(spark, d), lines_schema()), "columnar_bytes", 400)
 
 
-@query("offset_overflow", f"WITH {EV} SELECT batch_id, 'x' AS field FROM ev WHERE false")
+# rows with texts, bytes, flags, lists and small floats
+
+NO = """no AS (SELECT doc_id // 100 AS batch_id, doc_id % 100 AS pos, lang, doc_id, n_chars > 1000 AS long, CASE WHEN doc_id % 3 = 0 THEN doc_id % 2 = 0 END AS even,
+ source, CASE WHEN doc_id % 2 = 0 THEN source || chr(9) || '"x"' END AS note, 0.5 + (n_chars % 4) * 0.25 AS ratio, n_chars FROM documents)"""
+NOTE_ROW = """'{"schema_version":1,"lang":"' || lang || '","doc_id":' || doc_id || ',"long":' || long || coalesce(',"even":' || even, '') || ',"source":"' || source || '"'
+ || CASE WHEN note IS NOT NULL THEN ',"note":"' || source || '\\t\\"x\\""' ELSE '' END || ',"blob":"' || to_base64(encode(source)) || '","ratio":' || ['0.5','0.75','1','1.25'][(n_chars % 4 + 1)::INTEGER]
+ || ',"sizes":[' || CASE WHEN doc_id % 2 = 0 THEN n_chars || ',' || doc_id ELSE '' END || ']'
+ || CASE WHEN doc_id % 5 = 0 THEN ',"halves":[' || (n_chars // 2) || CASE WHEN n_chars % 2 = 1 THEN '.5' ELSE '' END || ',0.25]' ELSE '' END
+ || CASE WHEN doc_id % 2 = 0 THEN ',"second_lang":"' || lang || '"' ELSE '' END || '}'"""
+NOTE_PARTS = """batch_id, pos, lang, doc_id, long::VARCHAR AS long, even::VARCHAR AS even, source, note, lower(hex(encode(source))) AS blob, ratio::DOUBLE AS ratio,
+ CASE WHEN doc_id % 2 = 0 THEN n_chars || ',' || doc_id ELSE '' END AS sizes, CASE WHEN doc_id % 5 = 0 THEN n_chars / 2.0 + 0.25 END::DOUBLE AS halves"""
+
+
+def _note_parts(rows: DataFrame) -> DataFrame:
+    """Physical notes as plain values."""
+    return rows.select(
+        *IDS, codes.symbol(F.col("lang_ordinal"), LANGS, notes_schema().base("lang")).alias("lang"), "doc_id", F.col("long").cast("string").alias("long"), F.col("even").cast("string").alias("even"), "source", "note", F.lower(F.hex("blob")).alias("blob"),
+        F.col("ratio").cast("double").alias("ratio"), F.array_join(F.transform("sizes", lambda x: x.cast("string")), ",").alias("sizes"), (F.get("halves", F.lit(0)) + F.get("halves", F.lit(1))).alias("halves"),
+    )
+
+
+@query("notes_json_row", f"WITH {NO} SELECT batch_id, pos, {NOTE_ROW} AS line FROM no")
+def notes_json_row(spark: SparkSession, d: str) -> DataFrame:
+    return notes(spark, d).select(*IDS, rowtext.json_row(notes_schema()).alias("line"))
+
+
+@query("notes_ipc_roundtrip", f"WITH {NO} SELECT {NOTE_PARTS} FROM no")
+def notes_ipc_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    return _note_parts(columnar.read_ipc(columnar.ipc_batches(notes(spark, d), notes_schema()), notes_schema()))
+
+
+@query("notes_envelope_roundtrip", f"WITH {NO} SELECT {NOTE_PARTS} FROM no")
+def notes_envelope_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    s = notes_schema()
+    return _note_parts(envelope.access(envelope.encode(notes(spark, d), s, trusted=True), s, trusted=True))
+
+
+@query("notes_errors", f"""WITH {NO} SELECT batch_id, pos, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'NonFiniteNumeric' ELSE 'InvalidEnumOrdinal' END AS error_code,
+ CASE WHEN doc_id % 11 = 0 THEN 'ratio' WHEN doc_id % 13 = 0 THEN 'halves' ELSE 'second_lang' END AS error_field FROM no WHERE doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0""")
+def notes_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Small floats, elements of lists, and optional ordinals, of which zero is none, beyond what they may be."""
+    at, s = F.col("doc_id"), notes_schema()
+    bad = F.array(F.lit(1.0), F.lit(float("inf")))
+    rows = notes(spark, d).withColumns({
+        "ratio": F.when(at % 11 == 0, F.lit(float("nan")).cast("float")).otherwise(F.col("ratio")),
+        "halves": F.when(at % 13 == 0, bad).otherwise(F.col("halves")),
+        "second_lang_ordinal": F.when(at % 7 == 0, 99).otherwise(F.col("second_lang_ordinal")),
+    })
+    fields = [f for f in s.fields if f.column in ("ratio", "halves", "second_lang_ordinal")]
+    error = F.coalesce(*[r for r in (validation.field_rule(f, s) for f in fields) if r is not None])
+    return presence.stored(rows, s, *IDS).select(*IDS, error.alias("e")).where("e IS NOT NULL").select(*IDS, F.col("e.code").alias("error_code"), F.col("e.field").alias("error_field"))
+
+
+@query("offset_overflow", f"WITH {NO}, s AS (SELECT batch_id, sum(strlen(source)) AS source, sum(strlen(note)) AS note, sum(strlen(source)) AS blob, 2 * count(*) FILTER (WHERE doc_id % 2 = 0) AS sizes, 2 * count(*) FILTER (WHERE doc_id % 5 = 0) AS halves FROM no GROUP BY batch_id) SELECT batch_id, field FROM (UNPIVOT s ON source, note, blob, sizes, halves INTO NAME field VALUE n) WHERE n > 90")
 def offset_overflow(spark: SparkSession, d: str) -> DataFrame:
-    return sizes.offset_overflow(events(spark, d), events_schema())
+    """With a limit that some columns pass, where 31 bits would need gigabytes."""
+    return sizes.offset_overflow(notes(spark, d), notes_schema(), 90)
 
 
 # text formats

@@ -87,6 +87,65 @@ message LineKeysV1 {
 """
 
 
+NOTES = """\
+syntax = "proto3";
+package tables.notes.v1;
+option (o.dictionary_values) = { name: "lang" value: "de" value: "en" value: "es" value: "fr" };
+message NotesV1 {
+  option (o.schema_id) = 60003;
+  option (o.schema_version) = 1;
+  option (o.transport_name) = "tables.notes.v1";
+  option (o.payload_root) = true;
+  uint32 schema_version = 1 [(o.const_u16) = 1];
+  repeated NoteRowV1 rows = 2 [(o.repeated_payload) = true];
+}
+message NoteRowV1 {
+  uint32 schema_version = 1 [(o.const_u16) = 1];
+  string lang = 2 [(o.dictionary) = "lang", (o.key_part) = true, (o.key_order) = 1];
+  int64 doc_id = 3 [(o.key_part) = true, (o.key_order) = 2];
+  bool long = 4;
+  optional bool even = 5 [(o.presence_bit) = 0];
+  string source = 6 [(o.raw_string) = true];
+  optional string note = 7 [(o.raw_string) = true, (o.presence_bit) = 1];
+  bytes blob = 8;
+  float ratio = 9;
+  repeated int64 sizes = 10;
+  repeated double halves = 11 [(o.presence_bit) = 2];
+  optional string second_lang = 12 [(o.dictionary) = "lang", (o.presence_bit) = 3];
+}
+"""
+
+
+@lru_cache(maxsize=None)
+def notes_schema() -> Schema:
+    return compile_schema(NOTES, "notes_v1")
+
+
+LANGS = ("de", "en", "es", "fr")
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Physical rows of notes_schema: what is known of a document, 100 documents a batch, in no key order."""
+    t = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base, even, n = notes_schema().base("lang"), F.col("doc_id") % 2 == 0, F.col("n_chars").cast("long")
+    return t.select(
+        F.floor(F.col("doc_id") / 100).alias("batch_id"),
+        F.pmod("doc_id", F.lit(100)).alias("pos"),
+        F.lit(1).alias("schema_version"),
+        codes.ordinal(F.col("lang"), LANGS, base).alias("lang_ordinal"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        (n > 1000).alias("long"),
+        F.when(F.col("doc_id") % 3 == 0, even).alias("even"),
+        F.col("source").alias("source"),
+        F.when(even, F.concat("source", F.lit('\t"x"'))).alias("note"),
+        F.encode("source", "UTF-8").alias("blob"),
+        (F.lit(0.5) + (n % 4) * 0.25).cast("float").alias("ratio"),
+        F.when(even, F.array(n, F.col("doc_id").cast("long"))).otherwise(F.array().cast("array<bigint>")).alias("sizes"),
+        F.when(F.col("doc_id") % 5 == 0, F.array(n / 2, F.lit(0.25))).alias("halves"),
+        F.when(even, codes.ordinal(F.col("lang"), LANGS, base)).cast("int").alias("second_lang_ordinal"),
+    )
+
+
 @lru_cache(maxsize=None)
 def events_schema() -> Schema:
     return compile_schema(EVENTS, "events_v1")
