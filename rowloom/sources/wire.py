@@ -1,8 +1,8 @@
 """Protobuf wire bytes of physical rows.
 
-A row's bytes are made column by column over an Arrow batch: each present value's key and value are bytes
-of a list, lists are joined row by row. Zeros are written; lists are unpacked, a key for every element, so
-an empty list and an absent one look alike.
+Bytes are made column by column over an Arrow batch, as pieces: of every row how many bytes, and the bytes of
+all rows in a row. Pieces are laid side by side by numpy, so no value becomes a Python object. Zeros are
+written; lists are unpacked, a key for every element, so an empty list and an absent one look alike.
 """
 
 from __future__ import annotations
@@ -36,53 +36,119 @@ def varint(n: int) -> bytes:
     return bytes(out)
 
 
-#: Short numbers are looked up.
-SMALL = [varint(i) for i in range(1 << 14)]
+def key(number: int, wire: int) -> bytes:
+    return varint(number << 3 | wire)
 
 
-def short(n: int) -> bytes:
-    return SMALL[n] if 0 <= n < len(SMALL) else varint(n)
+#: Of every row how many bytes, and the bytes of all rows one after the other.
+Piece = tuple[np.ndarray, np.ndarray]
+
+
+#: So many bytes are laid out at a time, for each takes three numbers.
+PART = 1 << 20
+
+
+def _joined(pieces: list[Piece], n: int) -> Piece:
+    """The pieces of each row side by side."""
+    sizes = np.zeros(n, np.int64)
+    for own, _ in pieces:
+        sizes += own
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if n else 0
+    out = np.empty(total, np.uint8)
+    long = np.flatnonzero(sizes > PART)
+    cuts = np.unique(np.concatenate(([0, n], long, long + 1, np.searchsorted(ends, np.arange(PART, total, PART))))).tolist()
+    to = ends - sizes
+    for own, data in pieces:
+        last = np.cumsum(own)
+        first = last - own
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = data[first[a] : last[b - 1]]
+            if b - a == 1:
+                out[to[a] : to[a] + len(part)] = part
+            else:
+                out[np.arange(len(part)) + np.repeat(to[a:b] - first[a:b] + first[a], own[a:b])] = part
+        to += own
+    return sizes, out
+
+
+def _constant(data: bytes, there: np.ndarray) -> Piece:
+    """The same bytes in every row that is there."""
+    return there * np.int64(len(data)), np.tile(np.frombuffer(data, np.uint8), int(np.count_nonzero(there)))
+
+
+def _varints(numbers: np.ndarray, there: np.ndarray) -> Piece:
+    """Numbers of 64 bits, of the rows that are there."""
+    rest, sizes = numbers[there].astype(np.int64).view(np.uint64), np.zeros(len(there), np.int64)
+    own, digits = np.ones(len(rest), np.int64), []
+    while True:
+        digits.append((rest & np.uint64(0x7F)).astype(np.uint8))
+        rest = rest >> np.uint64(7)
+        if not rest.any():
+            break
+        own += rest != 0
+    table = np.stack(digits, axis=1)
+    place = np.arange(len(digits))
+    table[place < own[:, None] - 1] |= 0x80
+    sizes[there] = own
+    return sizes, table[place < own[:, None]]
+
+
+def _texts(column: pa.Array, there: np.ndarray) -> list[Piece]:
+    """Length and bytes of texts, or of bytes, of the rows that are there."""
+    if not len(column):
+        return []
+    data = column.fill_null(b"" if pa.types.is_binary(column.type) else "").cast(pa.large_binary())
+    ends = np.frombuffer(data.buffers()[1], np.int64, len(data) + 1, data.offset * 8)
+    sizes, raw = np.diff(ends), data.buffers()[2]
+    flat = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return [_varints(sizes, there), (sizes, flat)]
+
+
+def _value(kind: str, column: pa.Array, there: np.ndarray) -> list[Piece]:
+    if kind in ("F64", "F32"):
+        raw = column.fill_null(0).to_numpy(zero_copy_only=False).astype("<f8" if kind == "F64" else "<f4")[there]
+        return [(there * np.int64(raw.itemsize), raw.view(np.uint8))]
+    if kind in ("RawString", "U16Dictionary", "U64BitmaskDictionary", "Bytes"):
+        return _texts(column, there)
+    return [_varints(column.fill_null(False if pa.types.is_boolean(column.type) else 0).to_numpy(zero_copy_only=False), there)]
 
 
-def key(number: int, wire: int) -> bytes:
-    return varint(number << 3 | wire)
+def _there(column: pa.Array) -> np.ndarray:
+    return column.is_valid().to_numpy(zero_copy_only=False)
 
 
-def _values(kind: str, column: pa.Array) -> list[bytes | None]:
-    """Each value with its length, if it has one; None where it is absent."""
-    if kind in ("F64", "F32"):
-        width, code = (8, "<f8") if kind == "F64" else (4, "<f4")
-        raw = column.fill_null(0).to_numpy(zero_copy_only=False).astype(code).tobytes()
-        cut = [raw[i : i + width] for i in range(0, len(raw), width)]
-        if not column.null_count:
-            return cut
-        return [c if v else None for c, v in zip(cut, column.is_valid().to_pylist(), strict=True)]
-    if kind in ("RawString", "U16Dictionary", "U64BitmaskDictionary"):
-        return [None if v is None else short(len(b := v.encode())) + b for v in column.to_pylist()]
-    if kind == "Bytes":
-        return [None if v is None else short(len(v)) + v for v in column.to_pylist()]
-    return [None if v is None else short(int(v)) for v in column.to_pylist()]
-
-
-def _member(o: Output, column: pa.Array) -> list[bytes]:
+def _member(o: Output, column: pa.Array) -> list[Piece]:
     kind = "RawString" if o.utc_of else o.field.element or o.field.kind
     head = key(o.number, WIRE.get(kind, VARINT))
     if isinstance(column, pa.ListArray):
-        flat = _values(kind, column.flatten())
-        ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
-        return [b"".join([head + x for x in flat[a:b]]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-    return [b"" if v is None else head + v for v in _values(kind, column)]
+        flat = column.flatten()
+        there = _there(flat)
+        sizes, data = _joined([_constant(head, there), *_value(kind, flat, there)], len(flat))
+        ends = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+        return [(np.diff(np.concatenate(([0], np.cumsum(sizes)))[ends]), data)]
+    there = _there(column)
+    return [_constant(head, there), *_value(kind, column, there)]
+
+
+def _framed(head: bytes, message: Piece) -> list[Piece]:
+    """A message in another one: key, length and bytes, in every row."""
+    sizes, _ = message
+    always = np.ones(len(sizes), bool)
+    return [_constant(head, always), _varints(sizes, always), message]
 
 
-def _message(outputs: tuple[Output, ...], columns: dict[str, pa.Array], n: int) -> list[bytes]:
-    parts = []
+def _message(outputs: tuple[Output, ...], columns: dict[str, pa.Array], n: int) -> Piece:
+    parts: list[Piece] = []
     for o in outputs:
-        if o.members:
-            head = key(o.number, BYTES)
-            parts.append([head + short(len(x)) + x for x in _message(o.members, columns, n)])
-        else:
-            parts.append(_member(o, columns[o.path]))
-    return [b"".join(x) for x in zip(*parts, strict=True)] if parts else [b""] * n
+        parts += _framed(key(o.number, BYTES), _message(o.members, columns, n)) if o.members else _member(o, columns[o.path])
+    return _joined(parts, n)
+
+
+def _binary(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    """The rows of a piece as an Arrow column; more than its offsets can say is an error."""
+    ends = pa.array(np.concatenate(([0], np.cumsum(sizes)))).cast(pa.int32())
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, ends.buffers()[1], pa.py_buffer(data)])
 
 
 def _shown(rows: DataFrame, schema: Schema) -> DataFrame:
@@ -97,7 +163,7 @@ def protobuf_rows(rows: DataFrame, schema: Schema) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = dict(zip(paths, b.columns[2:], strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_message(schema.outputs, columns, len(b)), pa.binary())], ["batch_id", "pos", "data"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _binary(*_message(schema.outputs, columns, len(b)))], ["batch_id", "pos", "data"])
 
     return _shown(rows, schema).mapInArrow(each, T.StructType([rows.schema["batch_id"], rows.schema["pos"], T.StructField("data", T.BinaryType())]))
 
@@ -110,8 +176,9 @@ def protobuf_batches(rows: DataFrame, schema: Schema, cap: int | None = None) ->
 
     def make(table: pa.Table, bounds: np.ndarray) -> dict[str, pa.Array]:
         columns = {p: c.combine_chunks() for p, c in zip(paths, table.columns[2:], strict=True)}
-        framed = [row_key + short(len(x)) + x for x in _message(schema.outputs, columns, len(table))]
-        data = [head + b"".join(framed[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        sizes, flat = _joined(_framed(row_key, _message(schema.outputs, columns, len(table))), len(table))
+        ends = np.concatenate(([0], np.cumsum(sizes)))[bounds].tolist()
+        data = [head + flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
         over = [cap is not None and len(d) > cap for d in data]
         return {
             "data": pa.array([None if o else d for o, d in zip(over, data, strict=True)], pa.binary()),
