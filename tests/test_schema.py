@@ -139,3 +139,23 @@ def test_dictionaries_of_other_sources():
         compile_schema(text, "t_v1")
     other = 'option (o.dictionary_values) = { name: "device" value: "a" value: "b" };'
     assert compile_schema(text, "t_v1", dictionary_sources=(other,)).hash == build().hash
+
+
+def test_schema_files_and_command_line(tmp_path, capsys, spark):
+    from rowloom.__main__ import main
+    from rowloom.plans import files
+    from rowloom.plans.registry import TELEMETRY
+
+    (tmp_path / "telemetry_v1.proto").write_text(TELEMETRY)
+    known = schema("telemetry_v1")
+    for session in (None, spark):
+        assert files.load("telemetry_v1.proto", proto_root=str(tmp_path), spark=session).hash == known.hash
+    one = ["--proto-root", str(tmp_path), "--schema", "telemetry_v1.proto"]
+    out = str(tmp_path / "model.txt")
+    assert main(one) == 0 and capsys.readouterr().out == known.describe()
+    assert main([*one, "--check", "--out", out]) == 1
+    assert main([*one, "--write", "--out", out]) == 0 and main([*one, "--check", "--out", out]) == 0
+    assert main(["--schema", "telemetry_v1", "--check", "--out", out]) == 0
+    assert main(["--schema", "measurement_v1", "--check", "--out", out]) == 1
+    (tmp_path / "telemetry_v1.proto").write_text(TELEMETRY.replace("payload_root", "payload_rood"))
+    assert main(one) == 2 and main(["--schema", str(tmp_path / "none.proto")]) == 2
