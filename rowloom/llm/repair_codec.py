@@ -24,11 +24,12 @@ matter.
 
 from __future__ import annotations
 
+import string
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +50,14 @@ LEAST = 4
 STEP = 8
 BUCKETS = 20
 #: Parts of texts whose ids a worker remembers in a generation; the one before it is kept as well.
-GENERATION = 400_000
+GENERATION = 700_000
 
 #: The tokenizer's pattern over letters below U+0180, for which its normalizer is str.lower.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 NUMBERS = "0-9²³¹¼-¾"
 WORDS = f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+"
+#: Of these, a word of letters and what follows it are always apart.
+MARKS = string.punctuation
 #: A text with any other character goes through the library as a whole. Those that split() takes for white
 #: space are looked for in the text, others in its parts.
 OTHER = "[^!-~¡-ſ]"
@@ -86,27 +89,42 @@ class WordIds(dict):
 
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.path, own = path, Tokenizer.from_file(path)
+        self.model = own.model
+        if hasattr(self.model, "_resize_cache"):  # words are remembered here, so the model need not
+            self.model._resize_cache(0)
         self.words, self.other = re.compile(WORDS).findall, re.compile(OTHER).search
-        self.letters = byte_letters().__getitem__
+        letters = byte_letters()
+        self.letters = {c: "".join(letters[b] for b in c.encode()) for c in map(chr, range(0x180))}.__getitem__
         #: Texts that quote an added token, in any case, go through the library as a whole as well.
-        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [t.content.lower() for t in own.get_added_tokens_decoder().values()]
         self.old: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own way, for whole texts; made when the first of them comes."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __missing__(self, part: str) -> bytes:
         data = self.old.get(part)
         if data is None:
-            if part.isascii() and part.isalpha():  # one word, as most are
-                data = array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+            word = part.rstrip(MARKS)
+            if len(word) < len(part) and word.isalpha():  # a word, then one run of marks
+                data = self[word] + self[part[len(word) :]]
+            elif part.isascii() and part.isalpha():
+                data = self.encoded(part)
             elif self.other(part):
                 raise Foreign
+            elif part.isalpha():
+                data = self.encoded("".join(map(self.letters, part)))
             else:
                 words = self.words(part)
                 if len(words) != 1 or words[0] != part:
                     data = b"".join(map(self.__getitem__, words))
                 else:
-                    data = array("I", [t.id for t in self.model.tokenize("".join(map(self.letters, part.encode())))]).tobytes()
+                    data = self.encoded("".join(map(self.letters, part)))
         if len(part) <= 64:
             if len(self) >= GENERATION:
                 self.old = dict(self)
@@ -114,6 +132,10 @@ class WordIds(dict):
             self[part] = data
         return data
 
+    def encoded(self, letters: str) -> bytes:
+        """The ids of one word, given as the letters of its bytes."""
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of a text, then END."""
         text = text or ""
