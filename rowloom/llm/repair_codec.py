@@ -50,7 +50,7 @@ LEAST = 4
 STEP = 8
 BUCKETS = 20
 #: Parts of texts whose ids a worker remembers in a generation; the one before it is kept as well.
-GENERATION = 700_000
+GENERATION = 500_000
 
 #: The tokenizer's pattern over letters below U+0180, for which its normalizer is str.lower.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
@@ -187,16 +187,18 @@ def grammar(ids: np.ndarray, least: int = LEAST) -> tuple[int, np.ndarray, np.nd
         at = np.flatnonzero((full >= level)[bucket]).astype(np.int32)
         following, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         stay, again = np.ones(n, bool), np.zeros(n + 1, bool)
+        counted = True  # the first round's places have just been picked by their buckets
         while len(at):
             after = following[at]
             left, right = seq[at], seq[after]
             second = overlapping(at, after, left == right)
             later = at[second]
             keep = ~second
-            if len(at) > 1 << 14:  # most new pairs are rare; those in buckets that are not full need no sorting
+            if len(at) > 1 << 14 and not counted:  # most new pairs are rare; those in buckets that are not full need no sorting
                 bucket = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - BUCKETS)
                 bucket[second] = 0
                 keep &= (np.bincount(bucket, minlength=1 << BUCKETS) >= level)[bucket]
+            counted = False
             at, after, left, right = (x[keep] for x in (at, after, left, right))
             pairs, symbol, count = np.unique(left.astype(np.uint64) << np.uint64(32) | right, return_inverse=True, return_counts=True)
             often = (count >= level)[symbol]
@@ -232,13 +234,20 @@ def grammar(ids: np.ndarray, least: int = LEAST) -> tuple[int, np.ndarray, np.nd
 
 def rule_lengths(base: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of every rule: how many ids it stands for, and how deep it is."""
-    lengths, depths = [], []
-    for a, b in rules.tolist():
-        n, d = (lengths[a - base], depths[a - base]) if a >= base else (1, 0)
-        m, e = (lengths[b - base], depths[b - base]) if b >= base else (1, 0)
-        lengths.append(n + m)
-        depths.append(1 + max(d, e))
-    return np.array(lengths, np.int64), np.array(depths, np.int64)
+    lengths = np.ones(base + len(rules), np.int64)
+    depths = np.where(np.arange(base + len(rules)) < base, 0, -1)  # -1: not known yet
+    todo, depth = np.arange(len(rules)), 0
+    while len(todo):
+        depth += 1
+        parts = rules[todo]
+        ready = (depths[parts] >= 0).all(axis=1)
+        if not ready.any():
+            raise ValueError("a rule of the block stands for itself")
+        now = base + todo[ready]
+        lengths[now] = lengths[parts[ready]].sum(axis=1)
+        depths[now] = depth
+        todo = todo[~ready]
+    return lengths[base:], depths[base:]
 
 
 def expansions(base: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
