@@ -50,7 +50,7 @@ LEAST = 4
 STEP = 8
 BUCKETS = 20
 #: Parts of texts whose ids a worker remembers in a generation; the one before it is kept as well.
-GENERATION = 500_000
+GENERATION = 690_000
 
 #: The tokenizer's pattern over letters below U+0180, for which its normalizer is str.lower.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
@@ -98,6 +98,7 @@ class WordIds(dict):
         self.letters = {c: "".join(letters[b] for b in c.encode()) for c in map(chr, range(0x180))}.__getitem__
         #: Texts that quote an added token, in any case, go through the library as a whole as well.
         self.added = [t.content.lower() for t in own.get_added_tokens_decoder().values()]
+        self.begins = {t[0] for t in self.added}
         self.old: dict[str, bytes] = {}
 
     @cached_property
@@ -141,7 +142,7 @@ class WordIds(dict):
         text = text or ""
         lower = text.lower()
         try:
-            if any(t in lower for t in self.added) or any(c in lower for c in SPACES) or not text.isascii() and any(c in text for c in RAISED):
+            if any(c in lower for c in self.begins) and any(t in lower for t in self.added) or any(c in lower for c in SPACES) or not text.isascii() and any(c in text for c in RAISED):
                 raise Foreign
             return np.frombuffer(b"".join(map(self.__getitem__, lower.split())) + struct.pack("<I", END), "<u4")
         except Foreign:
@@ -268,16 +269,35 @@ def expansions(base: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return lengths, starts, table
 
 
+def _cells(width: int) -> Iterator[tuple[int, int, int]]:
+    """Eight symbols of width bits fill width bytes: (symbol, byte, bits of the symbol that lie below the byte)."""
+    for i in range(8):
+        for byte in range(i * width // 8, (i * width + width + 7) // 8):
+            yield i, byte, byte * 8 - i * width
+
+
 def to_bits(seq: np.ndarray, width: int) -> bytes:
     """Symbols in width bits each, the lowest first."""
-    bits = np.unpackbits(seq.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+    n = seq.size
+    rows = np.zeros(-(-n // 8) * 8, np.uint32)
+    rows[:n] = seq.ravel()
+    rows = np.ascontiguousarray(rows.reshape(-1, 8).T)
+    out = np.zeros((width, rows.shape[1]), np.uint8)
+    for i, byte, below in _cells(width):
+        out[byte] |= (rows[i] >> np.uint32(below) if below >= 0 else rows[i] << np.uint32(-below)).astype(np.uint8)
+    return np.ascontiguousarray(out.T).tobytes()[: -(-n * width // 8)]
 
 
 def from_bits(data: np.ndarray, width: int, n: int) -> np.ndarray:
-    bits = np.zeros((n, 32), np.uint8)
-    bits[:, :width] = np.unpackbits(data, count=n * width, bitorder="little").reshape(n, width)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
+    rows = np.zeros(-(-n // 8) * width, np.uint8)
+    rows[: len(data)] = data
+    rows = np.ascontiguousarray(rows.reshape(-1, width).T) if width else np.zeros((0, -(-n // 8)), np.uint8)
+    out = np.zeros((8, -(-n // 8)), np.uint32)
+    for i, byte, below in _cells(width):
+        part = rows[byte].astype(np.uint32)
+        out[i] |= part << np.uint32(below) if below >= 0 else part >> np.uint32(-below)
+    out &= np.uint32((1 << width) - 1)
+    return np.ascontiguousarray(out.T).ravel()[:n]
 
 
 def expand(seq: np.ndarray, lengths: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:

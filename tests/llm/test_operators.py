@@ -518,6 +518,24 @@ def test_words_are_encoded_as_in_texts():
         assert words.ids(t)[:-1].tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_words_before_marks_are_encoded_as_in_texts():
+    words = repair_codec.word_ids(repair_codec.default_tokenizer())
+    marks = ["", ".", "...", "'", "''", "'s", "'s.", "!?***", "$$$", "-", "_", "\\", "<|", ".a", "1.", "²"]
+    for word in ("a", "the", "it", "ünïté", "straße", "œuvre", "ª", "7", "", "x" * 70, "é" * 70):
+        for m in marks:
+            for t in (word + m, m + word, f"{word}{m} {word}{m}{word}"):
+                assert words.ids(t)[:-1].tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_lengths_of_rules():
+    lengths, depths = repair_codec.rule_lengths(3, np.array([[0, 1], [3, 3], [2, 4], [3, 5]], np.uint32))
+    assert lengths.tolist() == [2, 4, 5, 7] and depths.tolist() == [1, 2, 3, 4]
+    assert [x.tolist() for x in repair_codec.rule_lengths(3, np.zeros((0, 2), np.uint32))] == [[], []]
+    for wrong in ([[3, 0]], [[4, 0], [3, 0]]):
+        with pytest.raises(ValueError, match="stands for itself"):
+            repair_codec.rule_lengths(3, np.array(wrong, np.uint32))
+
+
 def test_added_tokens_are_those_of_the_library():
     from tokenizers import Tokenizer
 
