@@ -47,12 +47,22 @@ def mask_of(symbols: Column, values: Sequence[str]) -> Column:
     return F.when(symbols.isNull(), F.lit(None).cast("long")).otherwise(out)
 
 
+def _held(mask: Column, values: Sequence[str]) -> list[Column]:
+    """Each symbol, null where its bit is not set."""
+    return [F.when(mask.bitwiseAND(F.lit(bit(i)).cast("long")) != 0, F.lit(v)) for i, v in enumerate(values)]
+
+
 def symbols_of(mask: Column, values: Sequence[str]) -> Column:
     """Symbols of a bitmask, in the order of the dictionary."""
-    held = [F.when(mask.bitwiseAND(F.lit(bit(i)).cast("long")) != 0, F.lit(v)) for i, v in enumerate(values)]
+    held = _held(mask, values)
     return F.when(mask.isNotNull(), F.array_compact(F.array(*held)) if held else F.array().cast("array<string>"))
 
 
+def symbols_text(mask: Column, values: Sequence[str]) -> Column:
+    """Symbols of a bitmask as one text with commas between, without an array on the way."""
+    return F.when(mask.isNotNull(), F.concat_ws(",", *_held(mask, values)))
+
+
 def unsigned(value: Column) -> Column:
     """A long's bits as an unsigned decimal number."""
     return F.conv(F.hex(value), 16, 10)

@@ -21,8 +21,12 @@ def _scalar(kind: str, value: Column, string) -> Column:
     return text.integer(value)
 
 
+def _bracketed(items: Column) -> Column:
+    return F.concat(F.lit("["), items, F.lit("]"))
+
+
 def _list(items: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    return _bracketed(F.array_join(items, ","))
 
 
 def json_value(o: Output, schema: Schema) -> Column:
@@ -34,7 +38,7 @@ def json_value(o: Output, schema: Schema) -> Column:
     if f.kind == "U16Dictionary":
         return codes.symbol(c, [text.json_literal(v) for v in schema.dictionaries[f.dictionary]], schema.base(f.dictionary))
     if f.kind == "U64BitmaskDictionary":
-        return _list(codes.symbols_of(c, [text.json_literal(v) for v in schema.dictionaries[f.dictionary]]))
+        return _bracketed(codes.symbols_text(c, [text.json_literal(v) for v in schema.dictionaries[f.dictionary]]))
     if f.element:
         return _list(F.transform(c, lambda x: _scalar(f.element, x, text.json_string)))
     return _scalar(f.kind, c, text.json_string)
@@ -51,7 +55,7 @@ def csv_value(o: Output, schema: Schema) -> Column:
     if f.kind == "U16Dictionary":
         return codes.symbol(c, [quoted_text(v) for v in schema.dictionaries[f.dictionary]], schema.base(f.dictionary))
     if f.kind == "U64BitmaskDictionary":
-        return quoted(_list(codes.symbols_of(c, [text.json_literal(v, False).replace('"', '""') for v in schema.dictionaries[f.dictionary]])))
+        return quoted(_bracketed(codes.symbols_text(c, [text.json_literal(v, False).replace('"', '""') for v in schema.dictionaries[f.dictionary]])))
     if f.element:
         return quoted(_list(F.transform(c, lambda x: _scalar(f.element, x, text.csv_string))))
     return _scalar(f.kind, c, text.csv_string)
@@ -75,7 +79,7 @@ def csv_row(schema: Schema) -> Column:
 def _framed(rows: DataFrame, line: Column, head: str, between: str, tail: str, cap: int | None) -> DataFrame:
     """One text per batch. Lines are made once; their sizes are summed beside, and a text over the cap is not put together."""
     lines = rows.select("batch_id", "pos", line.alias("line"))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"])
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "line")))["line"]
     if cap is not None:
         size = F.sum(F.octet_length("line")) + F.lit(len(head.encode()) + len(tail.encode())) + (F.count("*") - (1 if between == "," else 0)) * len(between)
         each = lines.groupBy("batch_id").agg(size.alias("n_bytes"), ordered.alias("lines"))
